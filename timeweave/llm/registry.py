@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from timeweave.llm import exact_dedup, mixing, sharding
+from timeweave.llm import exact_dedup, mixing, quality_rules, sharding, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_link_graph_url_filter": url_filter.query,
     "op7_entropy_balancing": mixing.query,
     "op8_exact_dedup": exact_dedup.query,
+    "op9_quality_rules": quality_rules.query,
     "op10_hypergeometric_sharding": sharding.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op8_exact_dedup": exact_dedup.SQL,
+    "op9_quality_rules": quality_rules.SQL,
 }
