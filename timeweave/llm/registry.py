@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from timeweave.llm import exact_dedup, mixing, quality_rules, sharding, url_filter
+from timeweave.llm import exact_dedup, line_dedup, mixing, quality_rules, sharding, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_link_graph_url_filter": url_filter.query,
+    "op6_line_dedup": line_dedup.query,
     "op7_entropy_balancing": mixing.query,
     "op8_exact_dedup": exact_dedup.query,
     "op9_quality_rules": quality_rules.query,
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_line_dedup": line_dedup.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
     "op9_quality_rules": quality_rules.SQL,
 }
