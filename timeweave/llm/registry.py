@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from timeweave.llm import exact_dedup, line_dedup, mixing, quality_rules, sharding, url_filter
+from timeweave.llm import exact_dedup, line_dedup, mixing, quality_rules, sharding, simhash, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_simhash_near_dedup": simhash.query,
     "op3_link_graph_url_filter": url_filter.query,
     "op6_line_dedup": line_dedup.query,
     "op7_entropy_balancing": mixing.query,
