@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from timeweave.llm import exact_dedup, line_dedup, mixing, packing, quality_rules, sharding, simhash, url_filter
+from timeweave.llm import exact_dedup, line_dedup, mixing, packing, quality_rules, sharding, simhash, token_file, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": simhash.query,
     "op3_link_graph_url_filter": url_filter.query,
     "op4_power_of_two_packing": packing.query,
+    "op5_pfor_token_files": token_file.query,
     "op6_line_dedup": line_dedup.query,
     "op7_entropy_balancing": mixing.query,
     "op8_exact_dedup": exact_dedup.query,
