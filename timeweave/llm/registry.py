@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from timeweave.llm import exact_dedup, line_dedup, mixing, packing, quality_rules, sharding, simhash, token_file, url_filter
+from timeweave.llm import exact_dedup, line_dedup, mixing, packing, quality_classifier, quality_rules, sharding, simhash, token_file, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": quality_classifier.query,
     "op2_simhash_near_dedup": simhash.query,
     "op3_link_graph_url_filter": url_filter.query,
     "op4_power_of_two_packing": packing.query,
