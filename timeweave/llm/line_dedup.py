@@ -220,6 +220,25 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return both.select("doc", "text", "keep").mapInArrow(run, "doc_id long, text string, n_lines long, n_dropped long")
 
 
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
+    """``docs`` with the lines dropped from its texts, and all its other columns as they are.
+
+    The same rules as :func:`dedup_lines`; a null text stays null.
+    """
+    maps = keep_bitmaps(_prepared(docs, id_col, text_col), least).filter("n_dropped > 0").select(F.col("doc").alias("__doc"), F.col("text_hash").alias("__hash"), F.col("keep").alias("__keep"))
+
+    @F.arrow_udf("string")
+    def shortened(texts: pa.Array, keeps: pa.Array) -> pa.Array:
+        out = []
+        for text, keep in zip(texts.to_pylist(), keeps.to_pylist(), strict=True):
+            out.append(text if text is None or keep is None else "\n".join(kept_lines(text, unpack_bitmap(keep, text.count("\n") + 1), least)[0]))
+        return pa.array(out, pa.string())
+
+    doc, text_hash = F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)), F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+    both = docs.join(maps.hint("shuffle_hash"), (doc == F.col("__doc")) & (text_hash == F.col("__hash")), "left")
+    return both.select(*[shortened(docs[c], F.col("__keep")).alias(c) if c == text_col else docs[c] for c in docs.columns])
+
+
 def query(spark: SparkSession, folder: str) -> DataFrame:
     return dedup_lines(table(spark, folder, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
