@@ -11,17 +11,16 @@ from __future__ import annotations
 import functools
 import json
 import os
-import re
 
 import numpy as np
 
 END_ID = 2
-#: Chunks and units remembered by a worker; beyond, the memory starts anew.
+#: Chunks and units a worker remembers in each of two generations.  When the young
+#: one is full it becomes the old one, and what is used again moves to the new one.
 MOST_KEPT = 300_000
-#: Texts without characters from here on are lower-cased before the lookup:
-#: composition and lower case then commute with what the tokenizer does itself.
-_EXOTIC = re.compile("[ƀ-\U0010ffff]")
-_TAIL = ".,!?;:*#$%&|\"()"
+#: Words encoded by one call.
+AT_ONCE = 16_384
+_TAIL = b".,!?;:*#$%&|\"()"
 
 
 def default_path() -> str:
@@ -52,61 +51,95 @@ class Encoder:
         for token, i in vocab.items():
             self.ends[i] = bool(suffix) and token.endswith(suffix)
         self.chunks: dict[bytes, bytes] = {}  # by a chunk's UTF-8
-        self.units: dict[str, bytes] = {}
-
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.units: dict[bytes, bytes] = {}
+        self.old_chunks: dict[bytes, bytes] = {}
+        self.old_units: dict[bytes, bytes] = {}
+
+    def _raw(self, texts: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in found]
+
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        """Units of letters alone, encoded in one go and cut where the tokenizer ends a word."""
+        found = self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0]
+        ids = np.array(found.ids, dtype=self.dtype)
+        stops = ((np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize).tolist()
+        if len(stops) != len(words):
+            return self._raw(words)
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
 
     def _learn(self, chunks: list[bytes]) -> None:
-        """Adds chunks.  Letters with punctuation after them are two units of the
-        tokenizer; units of letters are encoded in one go and cut at word ends."""
-        cut: list[tuple[bytes, str, str]] = []
+        """Adds chunks.  Letters with punctuation after them are two units of the tokenizer."""
+        known, old = self.chunks, self.old_chunks
+        units, old_units = self.units, self.old_units
+        cut: list[tuple[bytes, bytes, bytes]] = []
         whole: list[bytes] = []
+        words: dict[bytes, None] = {}
+        tails: dict[bytes, None] = {}
         for c in chunks:
-            text = c.decode()
-            word = text.rstrip(_TAIL)
-            if word.isalpha() and not _EXOTIC.search(word):
-                cut.append((c, word, text[len(word) :]))
-            else:
+            if (ids := old.get(c)) is not None:
+                known[c] = ids
+                continue
+            word = c.rstrip(_TAIL)
+            if not (word.isalpha() if word.isascii() else _plain(word)):
                 whole.append(c)
-        units = self.units
-        words = list({w for _, w, _ in cut if w not in units})
+                continue
+            tail = c[len(word) :]
+            cut.append((c, word, tail))
+            for unit, new in ((word, words), (tail, tails)):
+                if unit not in units:
+                    if (ids := old_units.get(unit)) is not None:
+                        units[unit] = ids
+                    elif unit:
+                        new[unit] = None
         if words:
-            ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, dtype=self.dtype)
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(words):
-                data, width, at = ids.tobytes(), self.dtype.itemsize, 0
-                for w, stop in zip(words, (stops * width).tolist(), strict=True):
-                    units[w] = data[at:stop]
-                    at = stop
-            else:
-                units.update(zip(words, self._raw(words), strict=True))
-        tails = list({t for _, _, t in cut if t and t not in units})
+            new = [*words]
+            for at in range(0, len(new), AT_ONCE):
+                units.update(zip(new[at : at + AT_ONCE], self._words(new[at : at + AT_ONCE]), strict=True))
         if tails:
-            units.update(zip(tails, self._raw(tails), strict=True))
-        for c, w, t in cut:
-            self.chunks[c] = units[w] + units[t] if t else units[w]
+            units.update(zip(tails, self._raw([*tails]), strict=True))
+        for c, word, tail in cut:
+            known[c] = units[word] + units[tail] if tail else units[word]
         if whole:
-            self.chunks.update(zip(whole, self._raw([c.decode() for c in whole]), strict=True))
+            known.update(zip(whole, self._raw(whole), strict=True))
 
     def encode(self, texts: list[str], end: int | None = END_ID) -> list[np.ndarray]:
         """The ids of each whole text, and ``end`` after them."""
         if len(self.chunks) > MOST_KEPT:
-            self.chunks = {}
+            self.old_chunks, self.chunks = self.chunks, {}
         if len(self.units) > MOST_KEPT:
-            self.units = {}
+            self.old_units, self.units = self.units, {}
         tail = b"" if end is None else np.array([end], dtype=self.dtype).tobytes()
         split = []
         for t in texts:
-            if not _EXOTIC.search(t):
-                t = t.lower()
-            split.append(t.encode().split())  # bytes split at ASCII white space alone
-        known = self.chunks
-        new = list({c for chunks in split for c in chunks if c not in known})
+            data = t.encode()
+            # lower case and composition commute below U+0100, so words may share an entry
+            data = data.lower() if len(data) == len(t) else t.lower().encode() if _latin(t) else data
+            split.append(data.split())  # bytes split at ASCII white space alone
+        get = self.chunks.get
+        found = [list(map(get, chunks)) for chunks in split]
+        gaps = [[i for i, ids in enumerate(row) if ids is None] if None in row else [] for row in found]
+        new = {chunks[i] for chunks, gap in zip(split, gaps, strict=True) for i in gap}
         if new:
-            self._learn(new)
-        get = self.chunks.__getitem__
-        return [np.frombuffer(b"".join(map(get, chunks)) + tail, dtype=self.dtype) for chunks in split]
+            self._learn([*new])
+        for chunks, row, gap in zip(split, found, gaps, strict=True):
+            for i in gap:
+                row[i] = get(chunks[i])
+        return [np.frombuffer(b"".join(row) + tail, dtype=self.dtype) for row in found]
+
+
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def _plain(word: bytes) -> bool:
+    text = word.decode()
+    return text.isalpha() and _latin(text)
 
 
 @functools.lru_cache(maxsize=2)
