@@ -34,12 +34,12 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timeweave.llm.line_dedup import batches
 from timeweave.llm.tokens import default_path, encoder
-from timeweave.llm.workspace import fresh_path, stored, table
+from timeweave.llm.workspace import fresh_path, table
 
 MAGIC, BLOCK, PERCENTILE = b"TWPFOR1\n", 256, 90
 #: Blocks encoded or decoded at once.
@@ -231,9 +231,12 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = F.col("doc_id").asc_nulls_last()
     ranged = rows.repartitionByRange(n, order).sortWithinPartitions(order, "text")
-    files = stored(ranged.mapInArrow(run, "part int, file string, bytes long, n_docs long, n_ids long"), "token-files")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
-    return files.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+    # one row per file: as many as partitions, whatever the documents
+    found = sorted(ranged.mapInArrow(run, "part int, file string, bytes long, n_docs long, n_ids long").collect())
+    starts = np.cumsum([0, *(r["n_ids"] for r in found)])[:-1].tolist()
+    columns = {k: [r[k] for r in found] for k in ("part", "file", "bytes", "n_docs", "n_ids")} | {"start": starts}
+    kinds = [pa.int32(), pa.string(), *[pa.int64()] * 4]
+    return spark.createDataFrame(pa.table({k: pa.array(v, t) for (k, v), t in zip(columns.items(), kinds, strict=True)}))
 
 
 def read_token_files(files: DataFrame, path: str) -> DataFrame:
