@@ -1,0 +1 @@
+"""User-facing operators."""

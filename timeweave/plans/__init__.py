@@ -1,0 +1 @@
+"""Physical strategies of the as-of join; all give the same result."""

@@ -1,0 +1 @@
+"""Readers and seeded generators."""

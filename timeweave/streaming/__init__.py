@@ -1,0 +1 @@
+"""As-of joins of streams against tables."""
