@@ -22,10 +22,11 @@ import math
 from collections.abc import Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from timeweave.llm.workspace import columns_of, stored, table, word_count
+from timeweave.llm.workspace import columns_of, local_table, stored, table, word_count
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST_COPIES = 1.5, 2
@@ -77,7 +78,7 @@ def solve_dual(cells: DataFrame, sources: list[tuple[int, int, int, float]], cap
     for _ in range(STEPS):
         if not active:
             break
-        now = spark.createDataFrame([(s, tilt[s], scale[s]) for s in active], "s int, tilt double, scale double")
+        now = local_table(spark, s=(pa.int32(), active), tilt=(pa.float64(), [tilt[s] for s in active]), scale=(pa.float64(), [scale[s] for s in active]))
         x = F.col("size") / F.col("scale")
         rate = F.least(F.lit(float(cap)), F.exp(F.least(F.lit(50.0), F.col("tilt") * x)))
         words = F.col("n") * F.col("size")
@@ -138,7 +139,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
         raise ValueError(f"more than {MOST_SOURCES} sources")
     totals.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     goals = targets([r["words"] for r in totals], [weights[i % len(weights)] for i in range(len(totals))], share)
-    named = spark.createDataFrame([(i, r["source"], r["words"], goals[i]) for i, r in enumerate(totals)], "s int, source string, source_size long, target double")
+    names, sizes = [r["source"] for r in totals], [r["words"] for r in totals]
+    named = local_table(spark, s=(pa.int32(), range(len(totals))), source=(pa.string(), names), source_size=(pa.int64(), sizes), target=(pa.float64(), goals))
     slim = slim.join(F.broadcast(named.select("s", F.col("source").alias("source_"))), F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
 
     cells = stored(slim.groupBy("s", "size").agg(F.count("*").alias("n")), "mix-cells")

@@ -11,7 +11,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +53,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def local_table(spark: SparkSession, **columns: tuple[pa.DataType, Iterable]) -> DataFrame:
+    """A small table of the driver's; goes through Arrow, so executors run no Python for it."""
+    return spark.createDataFrame(pa.table({name: pa.array(list(values), kind) for name, (kind, values) in columns.items()}))
+
+
 def columns_of(df: DataFrame, **wanted: str) -> DataFrame:
     """Only the named input columns, under the operator's own names.
 
