@@ -1,0 +1,206 @@
+"""Quality classifier, quality rules and URL filter."""
+
+import os
+import re
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from timeweave.llm import quality_classifier as qc
+from timeweave.llm import quality_rules, url_filter
+
+DOCS = "doc_id long, text string, source string"
+FOLDER = "/root/testdata/sf0.1"
+LONG = " ".join(f"Word{i % 977} of a long, long text." for i in range(8_000))
+EDGES = [(1, None, None), (2, "", "a"), (3, " \n ", "b"), (None, "no id at all", "b"), (4, "twice", "c"), (4, "twice", "c"), (5, LONG, "d"), (6, "x" * 40_000, "d")]
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("clash") for c in ("words", "lines", "n_words", "kept", "votes", "score_bad", "hashes", "recurs")})
+
+
+def plain_repeat_words(words):
+    windows = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+    return len({i + k for i in range(len(words) - 4) if windows[tuple(words[i : i + 5])] > 1 for k in range(5)})
+
+
+def plain_rules(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    n, chars, repeat, symbols, dup = len(words), sum(map(len, words)), plain_repeat_words(words), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines))
+    base = n < 10 or 100 * repeat > 20 * n
+    more = 10 * symbols > n or chars < 2 * n or chars > 20 * n or 2 * dup > len(lines) or 2 * sum(map(str.isupper, text)) > chars
+    more = more or 5 * sum(a == b for a, b in zip(words, words[1:], strict=False)) > n or 2 * sum(not any(map(str.isalpha, w)) for w in words) > n
+    return n, chars, symbols, dup, repeat, base, not (base or more)
+
+
+RULE_TEXTS = [
+    "one two three four five six seven eight nine ten eleven",
+    "a b c d e a b c d e",
+    "a b c d e f g h i j k l m n o p q r s t u v w x y z a b c d e",
+    "a a a a a a a a a a a a",
+    "one two three four five six\none two three four five six\nother words that fill the line up a bit more and more words than before so windows stay rare here now",
+    "# # # word word2 word3 word4 word5 word6 word7 word8 word9",
+    "SHOUTED WORDS ALL OVER THE PLACE HERE NOW AND THEN AGAIN",
+    "É È À Ü words ÉÉÉ ÈÈÈ ÀÀÀ ÜÜÜ ÖÖÖ ÄÄÄ ÑÑÑ",
+    "1 2 3 4 5 6 7 8 9 10 11 word",
+    "no no yes yes maybe maybe so so then then fine fine good",
+    LONG,
+]
+
+
+def test_rules_against_plain(spark):
+    rows = EDGES + [(100 + i, t, "r") for i, t in enumerate(RULE_TEXTS)]
+    out = quality_rules.apply_rules(frame(spark, rows))
+    got = sorted((tuple(r) for r in out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept").collect()), key=repr)
+    assert got == sorted(((i, *plain_rules(t)) for i, t, _ in rows), key=repr)
+    assert out.filter("NOT base_failed AND kept <> (rejected_by IS NULL)").count() == 0
+    assert quality_rules.apply_rules(frame(spark, [])).count() == 0
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rules_are_ordered_by_rejections_per_cost(spark):
+    rows = frame(spark, [(i, t, "r") for i, t in enumerate(RULE_TEXTS * 3)])
+    order = quality_rules.ordered(rows, quality_rules.RULES)
+    assert {r.name for r, _, _ in order} == {r.name for r in quality_rules.RULES}
+    gain = [share / seconds for _, share, seconds in order]
+    assert gain == sorted(gain, reverse=True) and max(gain) > 0
+    reverse = quality_rules.measured(rows).select("doc_id", quality_rules.cascade([r for r, _, _ in order][::-1]).isNull().alias("kept"))
+    forward = quality_rules.measured(rows).select("doc_id", quality_rules.cascade([r for r, _, _ in order]).isNull().alias("kept"))
+    assert sorted(map(tuple, reverse.collect())) == sorted(map(tuple, forward.collect()))
+
+
+def test_labels_learn_who_is_right():
+    rng = np.random.default_rng(2)
+    k = len(qc.LABELLERS)
+    truth = rng.random(20_000) < 0.2
+    right = np.linspace(0.7, 0.97, k)
+    says = np.where(rng.random((20_000, k)) < right, truth[:, None], ~truth[:, None])
+    pattern = np.where(rng.random((20_000, k)) < 0.6, np.where(says, qc.BAD, qc.GOOD), qc.NONE)
+    rows, n = np.unique(pattern, axis=0, return_counts=True)
+    model = qc.fit_labels(rows, n.astype(float))
+    assert np.abs(model.right - right).max() < 0.03 and abs(model.prior_bad - 0.2) < 0.02
+    assert ((model.bad(pattern) > 0.5) == truth).mean() > 0.95
+
+
+def test_scorer_learns_soft_labels():
+    rng = np.random.default_rng(3)
+    y = rng.random(400)
+    rows = [(np.array([7 if v > 0.5 else 9, int(rng.integers(100, 200))], dtype=np.int32), np.ones(2, dtype=np.float32)) for v in y]
+    w = qc.fit_scorer(rows, (y > 0.5).astype(float))
+    assert w[7] > 1 and w[9] < -1 and len(w) == (1 << qc.BITS) + 1
+
+
+def test_vote_codes():
+    codes = np.array([0, 1, 5, 3 ** len(qc.LABELLERS) - 1])
+    assert (qc.unpack_votes(codes) @ 3 ** np.arange(len(qc.LABELLERS))).tolist() == codes.tolist()
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_classifier_against_held_out_labels(spark):
+    """The labels take no part in training."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    out = qc.classify(docs).join(spark.read.parquet(f"{FOLDER}/labels.parquet"), "doc_id")
+    n = {(r["quality"], r["kept"]): r["count"] for r in out.groupBy("quality", "kept").count().collect()}
+    assert n[0, False] / (n[0, False] + n.get((0, True), 0)) > 0.97
+    assert n[1, True] / (n[1, True] + n.get((1, False), 0)) > 0.99
+
+
+def test_classifier_edges(spark):
+    rows = EDGES + [(100 + i, f"Some plain words number {i} that make a sentence of the usual kind, with a stop at the end of it all.", "p") for i in range(30)] + [(200 + i, f"#### $$$ %%% &&& *** word{i} ### $$$ ||| <<< >>>", "p") for i in range(8)]
+    df = frame(spark, rows)
+    out = {(r["doc_id"], r["n_words"]): r["kept"] for r in qc.classify(df).collect()}
+    assert all(out[100 + i, 22] for i in range(30)) and not any(v for (i, _), v in out.items() if i and i >= 200)
+    assert qc.classify(df).count() == len(rows)
+    kept = qc.keep_good(df)
+    assert kept.columns == df.columns and kept.filter("doc_id >= 200").count() == 0 and kept.filter("doc_id BETWEEN 100 AND 199").count() == 30
+    assert qc.classify(frame(spark, [])).count() == 0 and qc.keep_good(frame(spark, [])).count() == 0
+
+
+PAGES = "page_id long, url string, html string, host string"
+
+
+def pages(spark, rows):
+    return spark.createDataFrame([(i, u, h, "clash") for i, u, h in rows], PAGES).withColumns({c: F.lit("clash") for c in ("path", "rule", "verdict", "open", "trust")})
+
+
+def test_url_parts_and_rules(spark):
+    cases = {
+        "http://a.Example.COM/en/x?q#f": ("a.example.com", "/en/x", "example.com/en/", "block"),
+        "http://www.example.com/en/": ("www.example.com", "/en/", "www.example.com/en/", "allow"),
+        "http://m.www.example.com/en/": ("m.www.example.com", "/en/", "www.example.com/en/", "allow"),
+        "http://example.com/EN/": ("example.com", "/EN/", "com/", "allow"),
+        "http://example.com": ("example.com", "", None, "allow"),
+        "http://example.com?x=/en/": ("example.com", "", None, "allow"),
+        "http://notexample.com/en/": ("notexample.com", "/en/", "com/", "allow"),
+        "x://y.net/es/1": ("y.net", "/es/1", "net/es/", "block"),
+        "x://y.net/fr/1#a?b": ("y.net", "/fr/1", "net/fr/", "block"),
+        "x://y.net/de/1://z": ("y.net", "/de/1://z", None, None),
+        "no scheme": ("", "", None, "allow"),
+        "": ("", "", None, "allow"),
+        None: ("", "", None, "allow"),
+        "https://ÄB.com/": ("Äb.com", "/", "com/", "allow"),
+    }
+    rows = [(i, u, None) for i, u in enumerate(cases)]
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge_urls(pages(spark, rows)).collect()}
+    for i, want in enumerate(cases.values()):
+        assert got[i][:3] == want[:3] and want[3] in (None, got[i][3]), (i, got[i])
+
+
+def dense_ranks(links, v, damping=0.85):
+    n = len(v)
+    m = np.zeros((n, n))
+    for a, b, k in links:
+        m[a, b] += k
+    s = m.sum(axis=1)
+    p = np.divide(m, s[:, None], out=np.zeros_like(m), where=s[:, None] > 0)
+    v = v / v.sum()
+    x = v.copy()
+    for _ in range(600):
+        x = damping * (p.T @ x + v * x[s == 0].sum()) + (1 - damping) * v
+    return x
+
+
+def test_propagation_against_dense_matrices(spark):
+    rng = np.random.default_rng(4)
+    n = 12
+    links = [(int(a), int(b), int(rng.integers(1, 4))) for a, b in {tuple(x) for x in rng.integers(0, n, (30, 2)).tolist()} if a != b]
+    good, bad = rng.integers(0, 4, n).astype(float), rng.integers(0, 3, n).astype(float)
+    table = spark.createDataFrame([(f"h{a}", f"h{b}", k) for a, b, k in links], "a string, b string, n long")
+    seeds = spark.createDataFrame([(f"h{i}", int(good[i]), int(bad[i])) for i in range(n)], "host string, good long, bad long")
+    got = {r["host"]: (r["trust"], r["distrust"]) for r in url_filter.propagate(table, seeds).collect()}
+    trust = dense_ranks(links, good) * good.sum()
+    distrust = dense_ranks([(b, a, k) for a, b, k in links], bad) * bad.sum()
+    for i in range(n):
+        assert got[f"h{i}"] == pytest.approx((trust[i], distrust[i]), abs=0.02)
+
+
+def test_link_verdicts(spark):
+    to = lambda *hosts: "".join(f"<a HREF = '//{h}/x'>l</a>" for h in hosts)
+    rows = [(i, f"http://good.com/{i}", to("friend.org")) for i in range(5)]
+    rows += [(10 + i, f"http://evil.net/es/{i}", "") for i in range(8)]
+    rows += [(30, "http://evil.net/de/", ""), (31, "http://friend.org/a", to("evil.net", "x.org")), (32, "http://farm.org/a", to("EVIL.net") + '<a href="https://evil.net/b">'), (33, "http://lone.org/a", to("lone.org"))]
+    got = {r["page_id"]: r for r in url_filter.judge_urls(pages(spark, rows)).collect()}
+    assert [got[i]["verdict"] for i in (0, 10, 30, 31, 32, 33)] == ["allow", "block", "block", "allow", "block", "allow"]
+    assert got[32]["distrust"] > got[31]["distrust"] > 0 and got[31]["trust"] > 0 == got[33]["trust"]
+
+
+def test_url_edges(spark):
+    rows = [(None, None, None), (1, "http://a.org/", None), (1, "http://a.org/", None), (2, "http://b.org/", "<a href='http://a.org/'>" * 3000)]
+    assert url_filter.judge_urls(pages(spark, rows)).count() == 4
+    out = url_filter.judge_urls(pages(spark, []))
+    assert out.count() == 0 and "Python" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rules_sql(spark):
+    docs = frame(spark, [(i, t, "r") for i, t in enumerate([*RULE_TEXTS[:-1], None, ""])])
+    con = duckdb.connect()
+    con.register("documents", docs.select("doc_id", "text").toPandas())
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    want = con.execute(f"SELECT {', '.join(names)} FROM ({quality_rules.SQL})").fetchall()
+    got = quality_rules.apply_rules(docs).select(*names).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
