@@ -36,6 +36,8 @@ def _index(table: pa.Table, keys: tuple[str, ...]) -> tuple[dict, np.ndarray]:
     times = table.column(T).to_pandas().to_numpy()
     if not keys:
         return {(): (0, table.num_rows)}, times
+    if not table.num_rows:
+        return {}, times
     frame = table.select(list(keys)).to_pandas()
     change = np.flatnonzero((frame != frame.shift()).any(axis=1).to_numpy())
     ends = np.append(change[1:], len(frame))
