@@ -58,7 +58,8 @@ def pack_bits(x: np.ndarray, width: int) -> np.ndarray:
     """Rows of BLOCK numbers under 2^width as rows of bytes, lowest bits first."""
     if width in (8, 16, 32):
         return np.ascontiguousarray(x.astype(f"<u{width // 8}")).view(np.uint8).reshape(len(x), -1)
-    bits = np.unpackbits(np.ascontiguousarray(x.astype("<u4")).view(np.uint8).reshape(len(x), BLOCK, 4), axis=2, bitorder="little")
+    size = 2 if width < 16 else 4
+    bits = np.unpackbits(np.ascontiguousarray(x.astype(f"<u{size}")).view(np.uint8).reshape(len(x), BLOCK, size), axis=2, bitorder="little")
     return np.packbits(bits[:, :, :width].reshape(len(x), -1), axis=1, bitorder="little")
 
 
@@ -67,9 +68,10 @@ def unpack_bits(data: np.ndarray, width: int) -> np.ndarray:
         return np.zeros((len(data), BLOCK), dtype=np.uint32)
     if width in (8, 16, 32):
         return np.ascontiguousarray(data).view(f"<u{width // 8}").astype(np.uint32)
-    bits = np.zeros((len(data), BLOCK, 32), dtype=np.uint8)
+    size = 2 if width < 16 else 4
+    bits = np.zeros((len(data), BLOCK, 8 * size), dtype=np.uint8)
     bits[:, :, :width] = np.unpackbits(data, axis=1, count=BLOCK * width, bitorder="little").reshape(len(data), BLOCK, width)
-    return np.packbits(bits, axis=2, bitorder="little").view("<u4").reshape(len(data), BLOCK)
+    return np.packbits(bits, axis=2, bitorder="little").view(f"<u{size}").reshape(len(data), BLOCK).astype(np.uint32)
 
 
 def encode_blocks(ids: np.ndarray, start: int) -> tuple[bytes, np.ndarray]:
@@ -79,16 +81,19 @@ def encode_blocks(ids: np.ndarray, start: int) -> tuple[bytes, np.ndarray]:
     at = min(BLOCK - 1, -(-BLOCK * PERCENTILE // 100) - 1)
     width = bit_lengths(np.partition(rest, at, axis=1)[:, at])
     over = rest >> width[:, None].astype(np.uint32)
-    n = (over > 0).sum(axis=1)
+    row, column = np.nonzero(over)
+    n = np.bincount(row, minlength=len(ids))
     data: list[bytes] = [b""] * len(ids)
     for w in np.unique(width):
         rows = np.flatnonzero(width == w)
         packed = pack_bits(rest[rows] & np.uint32((1 << int(w)) - 1), int(w)) if w else np.zeros((len(rows), 0), dtype=np.uint8)
         for r, line in zip(rows.tolist(), packed, strict=True):
             data[r] = line.tobytes()
-    for r in np.flatnonzero(n).tolist():
-        where = np.flatnonzero(over[r])
-        data[r] += where.astype("<u2").tobytes() + over[r][where].astype("<u4").tobytes()
+    where, high = column.astype("<u2").tobytes(), over[row, column].astype("<u4").tobytes()
+    stops = np.cumsum(n).tolist()
+    for r, (a, b) in enumerate(zip([0, *stops[:-1]], stops, strict=True)):
+        if a < b:
+            data[r] += where[2 * a : 2 * b] + high[4 * a : 4 * b]
     out = np.zeros(len(ids), dtype=_BLOCKS)
     out["minimum"], out["width"], out["exceptions"] = low, width, n
     sizes = np.array([len(d) for d in data], dtype=np.uint64)
@@ -104,11 +109,15 @@ def decode_blocks(data: np.ndarray, blocks: np.ndarray, base: int) -> np.ndarray
         rows = np.flatnonzero(blocks["width"] == w)
         size = BLOCK * int(w) // 8
         out[rows] = unpack_bits(data[start[rows][:, None] + np.arange(size)], int(w))
-    for r in np.flatnonzero(blocks["exceptions"]).tolist():
-        n, w = int(blocks["exceptions"][r]), int(blocks["width"][r])
-        at = start[r] + BLOCK * w // 8
-        where = data[at : at + 2 * n].view("<u2")
-        out[r][where] |= data[at + 2 * n : at + 6 * n].view("<u4") << np.uint32(w)
+    n = blocks["exceptions"].astype(np.int64)
+    row = np.repeat(np.arange(len(blocks)), n)
+    if len(row):
+        k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)  # number within the block's list
+        width = blocks["width"].astype(np.int64)
+        lists = (start + BLOCK * width // 8)[row]
+        where = np.ascontiguousarray(data[(lists + 2 * k)[:, None] + np.arange(2)]).view("<u2").ravel()
+        high = np.ascontiguousarray(data[(lists + 2 * n[row] + 4 * k)[:, None] + np.arange(4)]).view("<u4").ravel()
+        out[row, where] |= high << width[row].astype(np.uint32)
     return out + blocks["minimum"][:, None]
 
 
