@@ -9,6 +9,7 @@ ids while the worker lives, up to a fixed number.
 from __future__ import annotations
 
 import functools
+import gc
 import json
 import os
 
@@ -41,8 +42,11 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         steps = json.dumps([spec["normalizer"], spec["pre_tokenizer"]])
-        if '"Lowercase"' not in steps or r"\\s\\p{L}" not in steps:
+        if '"Lowercase"' not in steps or r"\\s\\p{L}" not in steps or spec["pre_tokenizer"]["pretokenizers"][-1]["type"] != "ByteLevel":
             raise ValueError("the tokenizer doesn't lower-case words split at white space")
+        # words of lower-case letters need no more than the cut at blanks and the byte alphabet
+        plain = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, spec["pre_tokenizer"]["pretokenizers"][-1]]}
+        self.lean = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "added_tokens": [], "pre_tokenizer": plain}))
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         size = max(vocab.values()) + 1
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
@@ -61,7 +65,7 @@ class Encoder:
 
     def _words(self, words: list[bytes]) -> list[bytes]:
         """Units of letters alone, encoded in one go and cut where the tokenizer ends a word."""
-        found = self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0]
+        found = self.lean.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0]
         ids = np.array(found.ids, dtype=self.dtype)
         stops = ((np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize).tolist()
         if len(stops) != len(words):
@@ -73,7 +77,7 @@ class Encoder:
         """Adds chunks.  Letters with punctuation after them are two units of the tokenizer."""
         known, old = self.chunks, self.old_chunks
         units, old_units = self.units, self.old_units
-        cut: list[tuple[bytes, bytes, bytes]] = []
+        wait: list[bytes] = []
         whole: list[bytes] = []
         words: dict[bytes, None] = {}
         tails: dict[bytes, None] = {}
@@ -82,30 +86,39 @@ class Encoder:
                 known[c] = ids
                 continue
             word = c.rstrip(_TAIL)
-            if not (word.isalpha() if word.isascii() else _plain(word)):
-                whole.append(c)
-                continue
-            tail = c[len(word) :]
-            cut.append((c, word, tail))
-            for unit, new in ((word, words), (tail, tails)):
-                if unit not in units:
-                    if (ids := old_units.get(unit)) is not None:
-                        units[unit] = ids
-                    elif unit:
-                        new[unit] = None
-        if words:
-            new = [*words]
-            for at in range(0, len(new), AT_ONCE):
-                units.update(zip(new[at : at + AT_ONCE], self._words(new[at : at + AT_ONCE]), strict=True))
+            if word not in units:  # units are letters alone, or punctuation alone
+                if (ids := old_units.get(word)) is not None:
+                    units[word] = ids
+                elif word.isalpha() if word.isascii() else _plain(word):
+                    words[word] = None
+                else:
+                    whole.append(c)
+                    continue
+            wait.append(c)
+            if len(word) < len(c) and c[len(word) :] not in units:
+                tails[c[len(word) :]] = None
+        new = [*words]
+        for at in range(0, len(new), AT_ONCE):
+            units.update(zip(new[at : at + AT_ONCE], self._words(new[at : at + AT_ONCE]), strict=True))
         if tails:
             units.update(zip(tails, self._raw([*tails]), strict=True))
-        for c, word, tail in cut:
-            known[c] = units[word] + units[tail] if tail else units[word]
+        for c in wait:
+            word = c.rstrip(_TAIL)
+            known[c] = units[c] if len(word) == len(c) else units[word] + units[c[len(word) :]]
         if whole:
             known.update(zip(whole, self._raw(whole), strict=True))
 
     def encode(self, texts: list[str], end: int | None = END_ID) -> list[np.ndarray]:
         """The ids of each whole text, and ``end`` after them."""
+        collects = gc.isenabled()
+        gc.disable()  # no cycles arise here, but millions of objects to look through
+        try:
+            return self._encode(texts, end)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[str], end: int | None) -> list[np.ndarray]:
         if len(self.chunks) > MOST_KEPT:
             self.old_chunks, self.chunks = self.chunks, {}
         if len(self.units) > MOST_KEPT:
