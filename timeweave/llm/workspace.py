@@ -36,8 +36,18 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_own_folder}"
 
 
+def session_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/timeweave-{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/timeweave/{name}-{uuid.uuid4().hex}"
+    return f"{session_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes what this session's operators have stored; their results can't be read after that."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(session_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
