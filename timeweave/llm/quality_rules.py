@@ -72,7 +72,9 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.when(F.size("words") > WINDOW, F.transform(F.sequence(F.lit(0), F.size("words") - WINDOW), window)).alias("hashes"),
     )
     df = df.withColumn("recurs", F.coalesce(F.size("hashes") > F.size(F.array_distinct("hashes")), F.lit(False)))
-    return df.withColumn("n_repeat_words", F.when(F.col("recurs"), repeat_words()).otherwise(F.lit(0)).cast("long")).drop("hashes", "recurs")
+    df = df.withColumn("n_repeat_words", F.when(F.col("recurs"), repeat_words()).otherwise(F.lit(0)).cast("long")).drop("hashes", "recurs")
+    # one row out for one in: no later filter passes below this, to compute the arrays again for each of their elements
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
 
 
 def repeat_words() -> Column:
@@ -95,7 +97,9 @@ def repeat_words() -> Column:
         return F.get(F.transform(F.array(value), body), F.lit(0))
 
     numbered = F.sort_array(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    spelled = lambda x: F.struct(x["h"].alias("h"), F.slice("words", x["i"] + 1, WINDOW).alias("w"), x["i"].alias("i"))
+    # word by word, as taking a slice would copy the whole array every time
+    spell = lambda x: F.struct(*[F.get("words", x["i"] + k).alias(f"w{k}") for k in range(WINDOW)])
+    spelled = lambda x: F.struct(x["h"].alias("h"), spell(x).alias("w"), x["i"].alias("i"))
     gap = lambda starts: lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get(starts, k + 1) - p, F.lit(WINDOW)))
     return let(
         numbered,
