@@ -19,10 +19,11 @@ The matrix has ``PARTS`` x shards numbers whatever the input's size.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from timeweave.llm.workspace import columns_of, stored, table
+from timeweave.llm.workspace import columns_of, local_table, stored, table
 
 PARTS = 1024
 CELLS = 64
@@ -102,7 +103,7 @@ def shard_rows(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text
     parts = sorted(counts)
     matrix = communication_matrix(np.array([counts[p] for p in parts], dtype=np.int64), sizes, seed)
     ends = matrix.cumsum(axis=1)
-    bounds = spark.createDataFrame([(p, ends[i].tolist()) for i, p in enumerate(parts)], "part int, ends array<bigint>")
+    bounds = local_table(spark, part=(pa.int32(), parts), ends=(pa.list_(pa.int64()), ends.tolist()))
 
     ties = ["doc_id", "size", "text_crc32", "spread"]
     first = Window.partitionBy("part").orderBy(key(1), *ties)
