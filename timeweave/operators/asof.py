@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
 
 from timeweave.plans.base import R, T, TIE, Spec
-from timeweave.plans.bucketed import bucketed
+from timeweave.plans.bucketed import BUCKETABLE, bucketed
 from timeweave.plans.chooser import NAMED, choose
 from timeweave.plans.fill import fill
 from timeweave.plans.filters import dynamic_bound, keys_of_other, static_bound
@@ -86,7 +86,7 @@ def asof_join(
     else:
         feed = b
 
-    name = choose(left, right, len(keys)) if strategy == "auto" else strategy
+    name = choose(a, feed, spec.keys, isinstance(left.schema[left_time].dataType, BUCKETABLE)) if strategy == "auto" else strategy
     plan, options = NAMED[name]
     options = dict(options)
     probe, reach = a, feed

@@ -14,6 +14,7 @@ from pyspark.sql.types import DateType, NumericType, TimestampNTZType, Timestamp
 from timeweave.plans.base import R, SIDE, T, TIE, Spec, left_columns, timeline
 
 BUCKETS, BUCKET = 64, "__bucket"
+BUCKETABLE = (NumericType, DateType, TimestampType, TimestampNTZType)
 
 
 def as_number(df: DataFrame) -> Column:

@@ -7,8 +7,15 @@ sorts the right side and searches it per left row, the left probe the reverse.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: From these sizes on ``auto`` looks for hot keys, and considers the right probe.
+HOT_BYTES, PROBE_BYTES = 1 << 32, 1 << 34
+#: A key of so many rows is too large for one task.
+HOT_ROWS = 5_000_000
 
 #: Every accepted name: the physical plan and its options.
 NAMED = {
@@ -43,20 +50,30 @@ def size_in_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def choose(left: DataFrame, right: DataFrame, keys: int) -> str:
+def largest_key(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the most frequent key on both sides; reads the key columns alone and combines before it exchanges."""
+    rows = left.select(*keys).unionByName(right.select(*keys))
+    return rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+
+
+def choose(left: DataFrame, right: DataFrame, keys: Sequence[str], bucketable: bool) -> str:
     """The plan for ``auto``.
 
-    Without a key everything is one group, which only buckets spread.  A right
-    side under the session's broadcast threshold, against a left side large
-    enough that not moving it pays for the Python workers, is probed in place.
-    Otherwise the sort stays inside the JVM and wins.
+    Without a key everything is one group, which only buckets spread; so is a key
+    of ``HOT_ROWS`` rows or more, which is looked for where the inputs are large
+    enough to hold one.  A right side under the session's broadcast threshold,
+    against a left side large enough that not moving it pays for the Python
+    workers, is probed in place.  Otherwise the sort stays inside the JVM and wins.
     """
-    if keys == 0:
-        return "bucketed"
+    if not keys:
+        return "bucketed" if bucketable else "fill"
     spark = left.sparkSession
     threshold = int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
     a, b = size_in_bytes(left), size_in_bytes(right)
-    if b <= threshold and a >= 1 << 34:
+    if b <= threshold and a >= PROBE_BYTES:
         costs = cost(a, b)
-        return "probe_right" if costs["probe_right"] < costs["fill"] else "fill"
+        if costs["probe_right"] < costs["fill"]:
+            return "probe_right"
+    if bucketable and a + b >= HOT_BYTES and largest_key(left, right, keys) >= HOT_ROWS:
+        return "bucketed"
     return "fill"
