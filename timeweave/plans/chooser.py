@@ -17,7 +17,8 @@ HOT_BYTES, PROBE_BYTES = 1 << 32, 1 << 34
 #: A key of so many rows is too large for one task.
 HOT_ROWS = 5_000_000
 
-#: Every accepted name: the physical plan and its options.
+#: Every accepted name: the physical plan and its options.  The upper-case names are
+#: fixed values that users of this kind of join know.
 NAMED = {
     "fill": ("fill", {}),
     "nested": ("nested", {}),
