@@ -13,6 +13,7 @@ from timeweave.llm import packing, token_file, tokens
 DOCS = "doc_id long, text string, source string"
 ODD = ["", " ", "Å İ J̌ ΣΑΣ don't it's a's9b <|endoftext|>x É́ 日本語 ÀB,'s x y z a.b.c it'll, \x1c\x85 ª² ½", "Ünï\x00 ſ ŉ", "The the THE, the. (the) the's", "ß straße STRASSE", "a" * 500, "1234 12a a12 ١٢"]
 LONG = " ".join(f"word{i % 977} Ünïcode." for i in range(20_000))
+ODD += ["“The” Ünïcode, ÜNÏCODE… THE The’s É É… ÀB" + LONG[:200].upper()]
 
 
 @pytest.fixture(scope="module")

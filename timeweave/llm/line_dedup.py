@@ -149,6 +149,8 @@ def keep_bitmaps(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
     ``keep`` is a zlib-compressed little-endian bitmap over the document's lines
     in which the first of several equal keys of a document stands for all of them.
+    A task that runs again must see its rows in the same order, as those of a
+    scan of files or a stored table are.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))

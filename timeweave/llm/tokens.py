@@ -64,7 +64,7 @@ class Encoder:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in found]
 
     def _words(self, words: list[bytes]) -> list[bytes]:
-        """Units of letters alone, encoded in one go and cut where the tokenizer ends a word."""
+        """Units of lower-case letters alone, encoded in one go and cut where the tokenizer ends a word."""
         found = self.lean.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0]
         ids = np.array(found.ids, dtype=self.dtype)
         stops = ((np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize).tolist()
@@ -77,7 +77,7 @@ class Encoder:
         """Adds chunks.  Letters with punctuation after them are two units of the tokenizer."""
         known, old = self.chunks, self.old_chunks
         units, old_units = self.units, self.old_units
-        wait: list[bytes] = []
+        wait: list[tuple[bytes, bytes, bytes]] = []
         whole: list[bytes] = []
         words: dict[bytes, None] = {}
         tails: dict[bytes, None] = {}
@@ -85,26 +85,28 @@ class Encoder:
             if (ids := old.get(c)) is not None:
                 known[c] = ids
                 continue
-            word = c.rstrip(_TAIL)
-            if word not in units:  # units are letters alone, or punctuation alone
-                if (ids := old_units.get(word)) is not None:
-                    units[word] = ids
-                elif word.isalpha() if word.isascii() else _plain(word):
-                    words[word] = None
-                else:
+            unit = word = c.rstrip(_TAIL)
+            if word not in units:  # units are lower-case letters alone, or punctuation alone
+                unit = _letters(word)
+                if unit is None:
                     whole.append(c)
                     continue
-            wait.append(c)
-            if len(word) < len(c) and c[len(word) :] not in units:
-                tails[c[len(word) :]] = None
+                if unit not in units:
+                    if (ids := old_units.get(unit)) is not None:
+                        units[unit] = ids
+                    else:
+                        words[unit] = None
+            tail = c[len(word) :]
+            wait.append((c, unit, tail))
+            if tail and tail not in units:
+                tails[tail] = None
         new = [*words]
         for at in range(0, len(new), AT_ONCE):
             units.update(zip(new[at : at + AT_ONCE], self._words(new[at : at + AT_ONCE]), strict=True))
         if tails:
             units.update(zip(tails, self._raw([*tails]), strict=True))
-        for c in wait:
-            word = c.rstrip(_TAIL)
-            known[c] = units[c] if len(word) == len(c) else units[word] + units[c[len(word) :]]
+        for c, unit, tail in wait:
+            known[c] = units[unit] + units[tail] if tail else units[unit]
         if whole:
             known.update(zip(whole, self._raw(whole), strict=True))
 
@@ -150,9 +152,12 @@ def _latin(text: str) -> bool:
     return True
 
 
-def _plain(word: bytes) -> bool:
+def _letters(word: bytes) -> bytes | None:
+    """The word in lower case if it has letters below U+0100 alone."""
+    if word.isascii():
+        return word.lower() if word.isalpha() else None
     text = word.decode()
-    return text.isalpha() and _latin(text)
+    return text.lower().encode() if text.isalpha() and _latin(text) else None
 
 
 @functools.lru_cache(maxsize=2)
