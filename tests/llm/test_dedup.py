@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from timeweave.llm import components, exact_dedup, line_dedup, simhash
+from timeweave.llm import components, exact_dedup, line_dedup, shingle_dedup, simhash
 
 DOCS = "doc_id long, text string, source string"
 LONG = " ".join(f"word{i % 977}" for i in range(30_000))
@@ -217,3 +217,63 @@ def test_first_occurrences_across_batches():
         out = [x for b in line_dedup.later_ones(iter([table.slice(i, size) for i in range(0, 6, size)])) for x in b.column("doc").to_pylist()]
         assert out == [6, 9], size
     assert isinstance(table, pa.RecordBatch)
+
+
+def plain_shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def jaccard_components(texts):
+    """Indices to the smallest index of each one's group, all pairs compared."""
+    sets = [plain_shingles(t) for t in texts]
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+    return [find(i) for i in root]
+
+
+def edited_texts(seed):
+    """Copies with zero to many edits: a large group, small ones, one passage in all, short and blank texts."""
+    r = random.Random(seed)
+    word = lambda: f"w{r.randint(0, 3000)}"
+    passage = [word() for _ in range(12)]
+    base = [[word() for _ in range(r.choice([5, 8, 9, 12, 30, 120, 300]))] for _ in range(40)]
+    texts = [None, "", " \n", "One", "one", "A b c d", "a b c d", "a b c d e"]
+    for k in range(420):
+        words = list(base[0] * 3 if k < 120 else r.choice(base))
+        for _ in range(r.choice([0, 1, 1, 2, 3, 5, 9])):
+            at = r.randrange(len(words))
+            words[at : at + r.randint(0, 1)] = [word() for _ in range(r.randint(0, 2))]
+        texts.append(r.choice([" ", "\n ", "\t"]).join([w.upper() if r.random() < 0.1 else w for w in words + passage * (k % 3 == 0)]))
+    return texts
+
+
+def test_similar_texts_against_all_pairs(spark, monkeypatch):
+    texts = edited_texts(11)
+    docs = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    want = jaccard_components(texts)
+    assert 20 < len(set(want)) < len({frozenset(plain_shingles(t)) for t in texts})
+    for most in (shingle_dedup.MOST_COMMON, 1):  # the order of the shingles has no part in the result
+        monkeypatch.setattr(shingle_dedup, "MOST_COMMON", most)
+        groups = {}
+        for r in shingle_dedup.near_copies(docs).collect():
+            groups.setdefault(r["component"], []).append(r["row"])
+        assert {i: min(g) for g in groups.values() for i in g} == dict(enumerate(want))
+    assert shingle_dedup.near_copies(docs.limit(0)).count() == 0
+
+
+def test_pipeline_stage_drops_all_similar_texts(spark):
+    import corpus_pipeline as p
+
+    texts = edited_texts(12)
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in p.dedup_near(spark, docs, "").collect()} == set(jaccard_components(texts))
