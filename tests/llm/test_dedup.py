@@ -277,3 +277,13 @@ def test_pipeline_stage_drops_all_similar_texts(spark):
     texts = edited_texts(12)
     docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     assert {r["doc_id"] for r in p.dedup_near(spark, docs, "").collect()} == set(jaccard_components(texts))
+
+
+def test_pipeline_stage_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline as p
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(None, a), (None, a), (None, b), (4, b), (9, b), (7, c), (7, c), (None, "alone in the whole wide world")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"], r["text"]) for r in p.dedup_near(spark, docs, "").collect()), key=lambda x: x[1])
+    assert got == [(None, a), (None, "alone in the whole wide world"), (4, b), (7, c)]
