@@ -173,3 +173,21 @@ def test_pipeline_edges(spark):
         for _, stage in p.STAGES:
             docs = p.stored(stage(spark, docs, FOLDER), "edges")
         docs.count()
+
+
+def test_pipeline_mixes_row_by_row(spark):
+    import corpus_pipeline as p
+
+    rows = [(i if i is None or i % 3 else None, t, "en", s, k) for k, (i, t, s) in enumerate(corpus(3) + [(7, "w " * n, "a") for n in range(40)])]
+    docs = p.stored(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "rows")
+    out = p.mix_sources(spark, docs, FOLDER)
+    assert out.columns == docs.columns
+    taken, most = {}, {}
+    for r in out.collect():
+        taken[r["source"]] = taken.get(r["source"], 0) + len((r["text"] or "").split())
+        most[r["n_chars"]] = most.get(r["n_chars"], 0) + 1
+    assert max(most.values()) <= mixing.MOST_COPIES
+    want = {}
+    for r in mixing.mix(docs).collect():
+        want[r["source"]] = want.get(r["source"], 0) + r["taken"]
+    assert taken == {s: n for s, n in want.items() if n}

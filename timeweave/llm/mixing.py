@@ -118,20 +118,22 @@ def rounded(cells: pd.DataFrame, cap: int = MOST_COPIES) -> pd.DataFrame:
     return cells.assign(copies=copies)
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per input row: ``doc_id, source, size, source_size, target, rate, copies, taken``.
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
+    """One row per input row: ``doc_id, source, size, source_size, target, rate, copies, taken, row``.
 
     ``taken`` is ``copies`` (0, 1 or 2) times ``size``.  Sources take the weights
     in code-point order, a null source comes last and is a source of its own.  A
     null text has size 0 and 1 copy where its source's rates are not pushed to
     the bound; a source of no words has target 0.  A null id counts like any
-    other; rows alike in id, source and size are interchangeable.  An empty
-    table gives no rows; other columns are ignored.
+    other; rows alike in id, source and size are interchangeable.  ``row``
+    is the unique number in ``row_col``, or one given here.  An empty table gives
+    no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    rows = columns_of(docs, doc_id=id_col, text=text_col, source=source_col)
+    rows = columns_of(docs, doc_id=id_col, text=text_col, source=source_col, **({"number": row_col} if row_col else {}))
+    number = F.col("number") if row_col else F.monotonically_increasing_id()
     slim = stored(
-        rows.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("row")).withColumn("hash", F.xxhash64(F.lit(7), "doc_id", "size")),
+        rows.select("doc_id", "source", word_count(F.col("text")).alias("size"), number.alias("row")).withColumn("hash", F.xxhash64(F.lit(7), "doc_id", "size")),
         "mix-rows",
     )
     totals = slim.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("words")).limit(MOST_SOURCES + 1).collect()
