@@ -191,3 +191,23 @@ def test_pipeline_mixes_row_by_row(spark):
     for r in mixing.mix(docs).collect():
         want[r["source"]] = want.get(r["source"], 0) + r["taken"]
     assert taken == {s: n for s, n in want.items() if n}
+
+
+def test_pipeline_ends_in_token_ids(spark, tmp_path):
+    import corpus_pipeline as p
+
+    code = p.packing.encoder(p.packing.default_path())
+    texts = ["Some words, and more of them.", "", None, "a longer text " * 2000]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    packed = p.stored(p.pack_sequences(spark, docs, FOLDER), "packed")
+    whole = {}
+    for r in packed.orderBy("doc_id", "start").collect():
+        assert r["length"] == len(r["ids"]) == 1 << r["bucket"] and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], dtype="<u4").tobytes())
+        whole.setdefault(r["doc_id"], []).extend(r["ids"])
+    assert whole == {i: ids.tolist() for i, ids in enumerate(code.encode([t or "" for t in texts]))}
+    p.packing.write_buckets(packed, str(tmp_path / "buckets"))
+    back = spark.read.parquet(str(tmp_path / "buckets"))
+    key = lambda r: (r["sequence_id"], r["doc_id"], r["start"], tuple(r["ids"]), r["bucket"])
+    assert sorted(map(key, back.collect())) == sorted(map(key, packed.collect()))
+    for folder in (tmp_path / "buckets").glob("bucket=*"):
+        assert {len(r["ids"]) for r in spark.read.parquet(str(folder)).collect()} == {1 << int(folder.name.split("=")[1])}

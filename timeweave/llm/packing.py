@@ -90,4 +90,4 @@ def write_buckets(packed: DataFrame, path: str) -> None:
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
-    return pack(table(spark, folder, "documents"), with_ids=False)
+    return pack(table(spark, folder, "documents")).drop("ids")
