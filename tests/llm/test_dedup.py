@@ -287,3 +287,10 @@ def test_pipeline_stage_keeps_one_row_of_each_group(spark):
     docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted(((r["doc_id"], r["text"]) for r in p.dedup_near(spark, docs, "").collect()), key=lambda x: x[1])
     assert got == [(None, a), (None, "alone in the whole wide world"), (4, b), (7, c)]
+
+
+def test_drop_duplicates_keeps_one_row_of_each_text(spark):
+    got = exact_dedup.drop_duplicates(frame(spark, [*EDGES, (None, "a text of its own", "d")]))
+    assert got.columns == frame(spark, EDGES).columns
+    rows = sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=lambda x: x[1])
+    assert rows == sorted([(3, " \n\t"), (7, "same  text here\nand there"), (8, LONG), (9, LONG + "!"), (None, "a text of its own")], key=lambda x: x[1])

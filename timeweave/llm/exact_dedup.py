@@ -35,13 +35,13 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     are ignored.
     """
     rows = columns_of(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
+    return _decided(rows.withColumn("rid", F.monotonically_increasing_id()), support).drop("rid")
+
+
+def _decided(rows: DataFrame, support: float) -> DataFrame:
+    """The columns of ``exact_duplicates`` and ``rid`` for ``rows(doc_id, text, rid)`` without null texts."""
     digests = stored(
-        rows.select(
-            "doc_id",
-            F.length("text").alias("n"),
-            F.sha2(without_blanks(F.col("text")), 256).alias("sha"),
-            F.monotonically_increasing_id().alias("rid"),
-        ),
+        rows.select("doc_id", F.length("text").alias("n"), F.sha2(without_blanks(F.col("text")), 256).alias("sha"), "rid"),
         "digests",
     )
     # the smallest of these structs belongs to the row that stays
@@ -56,14 +56,16 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     frequent = digests.join(F.broadcast(winners), "sha")
     same = Window.partitionBy("sha")
     others = digests.join(F.broadcast(winners.select("sha")), "sha", "left_anti").withColumns({"best": F.min("rank").over(same), "size": F.count(F.lit(1)).over(same)})
-    out = ["doc_id", F.col("best.doc_id").alias("keep_id"), F.col("size").alias("group_size"), (F.col("rid") == F.col("best.rid")).alias("kept"), F.col("sha").alias("text_sha256")]
+    out = ["doc_id", F.col("best.doc_id").alias("keep_id"), F.col("size").alias("group_size"), (F.col("rid") == F.col("best.rid")).alias("kept"), F.col("sha").alias("text_sha256"), "rid"]
     return frequent.select(*out).unionByName(others.select(*out))
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, all columns; ids must be unique and not null."""
-    kept = exact_duplicates(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__kept"))
-    return docs.join(kept, docs[id_col] == kept["__kept"], "left_semi")
+    """The rows of ``docs`` that stay, all columns: one row of each group, whatever its id."""
+    numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    rows = columns_of(numbered, doc_id=id_col, text=text_col, rid="__row").withColumn("text", F.coalesce("text", F.lit("")))
+    kept = _decided(rows, SUPPORT).filter("kept").select(F.col("rid").alias("__row"))
+    return numbered.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
