@@ -1,7 +1,9 @@
 """Quality classifier, quality rules and URL filter."""
 
+import math
 import os
 import re
+import zlib
 from collections import Counter
 
 import duckdb
@@ -121,6 +123,110 @@ def test_classifier_edges(spark):
     assert qc.classify(frame(spark, [])).count() == 0 and qc.keep_good(frame(spark, [])).count() == 0
 
 
+def plain_facts(text):
+    """The statistics one by one, in the order of the fields."""
+    fold = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t)
+    words = re.findall(r"[^\x20\x09-\x0D]+", fold(text))
+    n = max(1, len(words))
+    lower = text.lower()
+    capitals = sum(a != b for a, b in zip(text, lower, strict=True)) if len(text) == len(lower) else sum(map(str.isupper, text))
+    windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)] if len(words) > 5 else []
+    lines = [x for x in fold(text).split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    shape = "".join("A" if "A" <= c <= "Z" else "a" * (len(c.encode()) if ord(c) > 127 else 1) if "a" <= c <= "z" or ord(c) > 127 else "0" if "0" <= c <= "9" else c for c in text)
+    return {
+        "n": len(words),
+        "symbols": sum(c in "#*$%&|<>~^=_\\{}[]@" for c in text) / n,
+        "capitals": capitals / max(1, sum(ord(c) > 127 or "a" <= c <= "z" or "A" <= c <= "Z" for c in text)),
+        "stutter": sum(a == b for a, b in zip(words, words[1:], strict=False)) / n,
+        "variety": sum(len(set(words[i : i + 200])) for i in range(0, len(words), 200)) / n,
+        "letterless": sum(not re.search(r"[A-Za-z\x80-\U0010FFFF]", w) for w in words) / n,
+        "length": (len(text) - len(words)) / n,
+        "windows": (len(windows) - len(set(windows))) / n,
+        "lines": 1 - len(set(lines)) / max(1, len(lines)),
+        "words": Counter(w.encode() for w in words),
+        "shapes": Counter(re.findall(r"[^\x20\x09-\x0D]+", shape)),
+    }
+
+
+def plain_votes(f):
+    bad, good = qc.BAD, qc.GOOD
+    n, plain = f["n"], f["symbols"] < 0.1 and f["capitals"] < 0.2 and f["letterless"] < 0.2
+    varied = plain and f["variety"] > 0.6 and f["stutter"] < 0.1 and f["windows"] < 0.15
+    prose = plain and 3.5 <= f["length"] <= 6.8 and f["lines"] < 0.4 and f["stutter"] < 0.1
+    return [
+        bad if f["symbols"] > 0.2 else 0,
+        bad if n >= 5 and f["capitals"] > 0.35 else 0,
+        bad if n >= 5 and f["stutter"] > 0.2 else 0,
+        bad if n >= 10 and f["variety"] < 0.4 else 0,
+        bad if n >= 5 and f["letterless"] > 0.3 else 0,
+        bad if n >= 10 and not 2.5 <= f["length"] <= 12 else 0,
+        bad if n >= 10 and f["windows"] > 0.35 else 0,
+        bad if f["lines"] > 0.6 else 0,
+        0 if n < 10 else good if plain else bad,
+        0 if n < 20 else good if varied else bad,
+        0 if n < 20 else good if prose else bad,
+    ]
+
+
+def plain_features(f):
+    size = 1 << qc.BITS
+    norm = max(1e-6, sum(f["words"].values()) ** 0.5)  # the squares of the roots of the counts
+    out = [(zlib.crc32(w) % size, 0.3 * c**0.5 / norm) for w, c in f["words"].items()]
+    out += [(zlib.crc32(b"shape " + re.sub(r"(.)\1+", r"\1", s, flags=re.S).encode()) % size, c / max(1, f["n"])) for s, c in f["shapes"].items()]
+    for k in ("symbols", "capitals", "stutter", "variety", "letterless", "windows", "lines", "length", "n"):
+        v = f[k] / 15 if k == "length" else math.log2(f[k] + 1) / 20 if k == "n" else f[k]
+        out.append((zlib.crc32(f"{k} {min(9, int(v * 10))}".encode()) % size, 0.5))
+    return sorted(out)
+
+
+def odd_texts(n=300):
+    rng = np.random.default_rng(7)
+    pool = ["word", "Word", "WORD", "é", "ÉÉ", "ß", "İx", "12", "3.5", "#", "<|>", "the", "the", "of", "a", "日本語", "x_y", "naïve", "Σας", "end.", "\u00a0", "😀😀"]
+    gaps = [" ", " ", " ", "  ", "\n", "\n\n", "\t", "\x0b", "\r\n"]
+    out = []
+    for _ in range(n):
+        some = rng.choice(pool, int(rng.integers(1, 22)))
+        out.append("".join(str(w) + gaps[int(rng.integers(0, 9))] for w in rng.choice(some, int(rng.integers(0, 400)))))
+    return out
+
+
+def test_facts_votes_and_features_against_plain_versions():
+    seen = set()
+    for text in ["", " ", *RULE_TEXTS[:-1], *odd_texts()]:
+        f, want = qc.facts(text), plain_facts(text)
+        for k, v in want.items():
+            if k == "shapes":
+                assert f.shapes == Counter({s.encode(): c for s, c in v.items()}), text
+            elif k == "words":
+                assert f.words == v
+            else:
+                assert getattr(f, k) == pytest.approx(v, abs=1e-12), (k, text)
+        said = plain_votes(want)
+        assert qc.unpack_votes(np.array([qc.votes(f)]))[0].tolist() == said
+        seen.update((i, v) for i, v in enumerate(said))
+        idx, val = qc.features(f)
+        got = sorted(zip(idx.tolist(), val.tolist(), strict=True))
+        assert [i for i, _ in got] == [i for i, _ in plain_features(want)]
+        assert np.allclose(sorted(v for _, v in got), sorted(v for _, v in plain_features(want)), atol=1e-6)
+    assert len(seen) >= 8 * 2 + 3 * 3 - 2  # nearly every labeller has cast each of its votes
+
+
+@pytest.mark.parametrize("i", [None, 5, 7, 11])
+def test_copies_of_junk_go(spark, i):
+    """More rows than the sample holds, all alike: some are drawn, and none stays."""
+    junk = "#### $$$ %%% &&& *** word ### $$$ ||| <<< >>>"
+    out = qc.classify(frame(spark, [(i, junk, "p")] * 3000), train_rows=500)
+    assert out.count() == 3000 and out.filter("kept").count() == 0
+    fine = [(100 + k, f"Some plain words number {k} that make a sentence of the usual kind, with a stop at the end of it all.", "p") for k in range(40)]
+    mixed = qc.classify(frame(spark, [(i, junk, "p")] * 3000 + fine * 30), train_rows=300)
+    assert mixed.filter("kept").count() == 1200 and mixed.filter("kept AND n_words <> 22").count() == 0
+
+
+def test_without_a_sample_the_labels_decide(spark):
+    model = qc.train(frame(spark, [(k, f"#### $$$ %%% &&& *** word{k} ### $$$", "p") for k in range(50)]), train_rows=0)
+    assert model.weights is None and model.bad(qc.facts("#### $$$ %%% &&& *** word ### $$$")) > 0.5
+
+
 PAGES = "page_id long, url string, html string, host string"
 
 
@@ -196,6 +302,27 @@ def test_url_edges(spark):
     assert out.count() == 0 and "Python" not in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_url_sql(spark):
+    """The SQL follows links, as the operator does; the test tables hold none between hosts."""
+    rng = np.random.default_rng(6)
+    hosts = ["a.com", "b.net", "c.org", "d.org", "e.org", "F.org", "g.net", "h.org"]
+    rows = [(None, None, None), (900, "no scheme", "<a href='//c.org/'>"), (901, "http://c.org", None)]
+    for i in range(120):
+        host, path = hosts[int(rng.integers(0, 8))], ["/", "/es/1", "/en/", "?q", ""][int(rng.integers(0, 5))]
+        links = "".join(f'<a class=x HREF = "https://{hosts[int(k)]}/p?{i}">' for k in rng.integers(2, 8, int(rng.integers(0, 5))))
+        rows.append((i % 100, f"http://{host}{path}", links))
+    rows += [(300 + i, "http://b.net/es/x", "") for i in range(20)] + [(400 + i, f"http://farm{i}.org/", "<img src=//B.net/x>") for i in range(2)]
+    df = pages(spark, rows)
+    con = duckdb.connect()
+    con.register("pages", df.select("page_id", "url", "html").toPandas().astype({"page_id": "Int64"}))
+    names = ["page_id", "host", "path", "rule", "verdict"]
+    want = con.execute(f"SELECT {', '.join(names)} FROM ({url_filter.SQL})").fetchall()
+    got = url_filter.judge_urls(df).select(*names).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    open_ = [r for r in got if r["rule"] is None and r["host"]]
+    assert {r["verdict"] for r in open_} == {"allow", "block"}
+
+
 def test_rules_sql(spark):
     docs = frame(spark, [(i, t, "r") for i, t in enumerate([*RULE_TEXTS[:-1], None, ""])])
     con = duckdb.connect()

@@ -8,7 +8,7 @@
    other, so a pattern's posterior weighs them against each other.
 3. Posteriors are the soft labels from which a logistic scorer on hashed
    features is fitted: words, shapes of words, and coarse statistics.  The fit
-   takes a sample of about ``TRAIN_ROWS`` rows, drawn by hash over the whole
+   takes a sample of about ``TRAIN_ROWS`` rows, drawn row by row over the whole
    table; everything else covers all rows.
 4. The scorer, one vector of fixed size, judges every document.
 """
@@ -243,17 +243,26 @@ def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], bad: np.ndarray, seed:
 
 @dataclass
 class Classifier:
+    """Without weights (no row was drawn) the label model's posterior is the score."""
+
     labels: LabelModel
-    weights: np.ndarray
+    weights: np.ndarray | None
 
     def bad(self, f: Facts) -> float:
+        if self.weights is None:
+            return float(self.labels.bad(unpack_votes(np.array([votes(f)], dtype=np.int64)))[0])
         idx, val = features(f)
         z = float(self.weights[idx].astype(np.float64) @ val) + float(self.weights[-1])
         return 1 / (1 + float(np.exp(-np.clip(z, -50, 50))))
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> Classifier:
-    """Votes over all rows, label model, and the scorer from a bounded sample."""
+    """Votes over all rows, label model, and the scorer from a bounded sample.
+
+    The sample comes to the driver as hashed vectors, at most 2 ** BITS numbers a
+    row.  It follows the order of the stored rows, so it is the same on every run
+    over the same files.
+    """
     rows = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
 
     def vote(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,10 +273,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     counted.sort(key=lambda r: r["votes"])
     codes, n = np.array([r["votes"] for r in counted], dtype=np.int64), np.array([r["count"] for r in counted], dtype=np.float64)
     if not len(codes):
-        return Classifier(LabelModel(0.5, np.full(len(LABELLERS), 0.5)), fit_scorer([], np.zeros(0)))
+        return Classifier(LabelModel(0.5, np.full(len(LABELLERS), 0.5)), None)
     model = fit_labels(unpack_votes(codes), n)
 
-    drawn = rows.filter(F.pmod(F.xxhash64(F.lit(SEED), "doc_id", F.length("text")), F.lit(1 << 40)) < int(min(1.0, train_rows / n.sum()) * (1 << 40)))
+    # each row has a draw of its own, however many are alike: a binomial number of mean train_rows at most
+    number = F.xxhash64(F.lit(SEED), F.monotonically_increasing_id(), "doc_id", F.length("text"))
+    drawn = rows.withColumn("draw", F.pmod(number, F.lit(1 << 40))).filter(F.col("draw") < int(min(1.0, train_rows / n.sum()) * (1 << 40)))
 
     def describe(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
@@ -275,8 +286,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
             vectors = [features(f) for f in found]
             yield pa.RecordBatch.from_arrays([pa.array([votes(f) for f in found], pa.int32()), pa.array([i.tobytes() for i, _ in vectors], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in vectors], pa.binary())], ["votes", "idx", "val"])
 
-    # hash order makes the fit the same on every run, and the limit makes the bound a hard one
-    sample = drawn.select("text").mapInArrow(describe, "votes int, idx binary, val binary").limit(2 * train_rows).collect()
+    sample = drawn.select("text").mapInArrow(describe, "votes int, idx binary, val binary").collect()
+    if not sample:
+        return Classifier(model, None)
+    # one order makes the fit the same on every run
     sample.sort(key=lambda r: (r["votes"], bytes(r["idx"])))
     bad = model.bad(unpack_votes(np.array([r["votes"] for r in sample], dtype=np.int64).reshape(-1)))
     vectors = [(np.frombuffer(r["idx"], dtype=np.int32), np.frombuffer(r["val"], dtype=np.float32)) for r in sample]

@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_link_graph_url_filter": url_filter.SQL,
     "op6_line_dedup": line_dedup.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
     "op9_quality_rules": quality_rules.SQL,

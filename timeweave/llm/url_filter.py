@@ -121,4 +121,49 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, id_co
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
-    return judge_urls(table(spark, folder, "pages"))
+    return judge_urls(table(spark, folder, "pages")).drop("trust", "distrust")
+
+
+SQL = r"""
+WITH RECURSIVE
+u AS (
+  SELECT row_number() OVER () AS i, page_id, html, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) END AS rest
+  FROM pages),
+p AS (
+  SELECT i, page_id, html,
+         coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
+  FROM u),
+r(verdict, rule, site, below) AS (VALUES
+  ('allow', 'com/', 'com', '/'), ('block', 'example.com/en/', 'example.com', '/en/'), ('allow', 'www.example.com/en/', 'www.example.com', '/en/'),
+  ('block', 'net/es/', 'net', '/es/'), ('block', 'net/fr/', 'net', '/fr/')),
+j AS (
+  SELECT p.*, rule, verdict
+  FROM p LEFT JOIN r ON (host = site OR ends_with(host, '.' || site)) AND starts_with(path, below)
+  QUALIFY row_number() OVER (PARTITION BY i ORDER BY length(rule) DESC NULLS LAST) = 1),
+h AS (
+  SELECT host, count(*) FILTER (verdict = 'allow') AS good, count(*) FILTER (verdict = 'block') AS bad, count(*) FILTER (verdict IS NULL) AS open
+  FROM j WHERE host <> '' GROUP BY host),
+e AS (
+  SELECT host AS a, unnest(list_distinct(regexp_extract_all(html, '(?i)(?:href|src|action)[\x20\x09-\x0D]*=[\x20\x09-\x0D]*["'']?[\x20\x09-\x0D]*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''\x20\x09-\x0D<>]+)', 1))) AS b
+  FROM p WHERE host <> ''),
+l AS (
+  SELECT a, translate(b, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS b, count(*) AS n
+  FROM e GROUP BY ALL HAVING a <> translate(b, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')),
+m AS (
+  SELECT a AS host, b AS next, n / sum(n) OVER (PARTITION BY a) AS t, 0.0 AS d FROM l
+  UNION ALL
+  SELECT b, a, 0.0, n / sum(n) OVER (PARTITION BY b) FROM l),
+s AS (
+  SELECT 0 AS k, host, CAST(good AS DOUBLE) AS trust, CAST(bad AS DOUBLE) AS distrust FROM h
+  UNION ALL
+  SELECT k + 1, next, CAST(sum(0.85 * trust * t) AS DOUBLE), CAST(sum(0.85 * distrust * d) AS DOUBLE)
+  FROM s JOIN m ON s.host = m.host WHERE k < 50 AND (trust > 0 OR distrust > 0) GROUP BY ALL),
+x AS (SELECT host, sum(trust) AS trust, sum(distrust) AS distrust FROM s GROUP BY host),
+z AS (SELECT (SELECT sum(good) FROM h) / nullif(sum(trust), 0) AS t, (SELECT sum(bad) FROM h) / nullif(sum(distrust), 0) AS d FROM x),
+v AS (
+  SELECT h.host, coalesce(distrust * d, 0) > 0.5 * (coalesce(trust * t, 0) + coalesce(distrust * d, 0) + open) AS spam
+  FROM h JOIN x ON h.host = x.host CROSS JOIN z)
+SELECT page_id, j.host, path, rule, coalesce(verdict, CASE WHEN spam THEN 'block' ELSE 'allow' END) AS verdict
+FROM j LEFT JOIN v ON j.host = v.host
+"""
