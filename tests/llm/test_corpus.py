@@ -119,25 +119,158 @@ def test_shard_edges(spark):
         sharding.shard_rows(frame(spark, []), 0)
 
 
-@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
-def test_queries(spark, name):
-    got = registry.QUERIES[name](spark, FOLDER)
-    if name not in registry.ORACLE_SQL:
-        assert got.count() >= (50 if name.startswith("op3_") else 200)
-        return
+def test_shards_of_rows_without_ids_follow_their_texts(spark):
+    df = spark.createDataFrame([(None, f"text {i}") for i in range(60)] + [(5, "alike")] * 300, "doc_id long, text string")
+    seen = [sorted(tuple(r) for r in sharding.shard_rows(df.repartition(n)).select("text_crc32", "shard", "slot").collect()) for n in (1, 3, 7)]
+    assert seen[0] == seen[1] == seen[2]
+
+
+def test_equal_rows_are_spread(spark, monkeypatch):
+    """On a table of one value no partition, range or cell has more than a few times its share."""
+    assert sharding.parts_and_cells(100, 16) == (1024, 64)
+    parts, cells = sharding.parts_and_cells(10**10, 16)
+    assert 10**10 / parts <= 250_000 and 10**10 / 16 / cells <= 250_000 and parts * 4096 <= 2**28
+    assert sharding.parts_and_cells(10**10, 4096)[0] == 1024
+    df = spark.createDataFrame([(5, "alike", "a")] * 2000, DOCS).repartition(4)
+    out = sharding.shard_rows(df).collect()
+    check_shards([None] * 2000, out, 16)
+    groups = []
+    real = sharding.communication_matrix
+    monkeypatch.setattr(sharding, "communication_matrix", lambda rows, shards, seed: groups.append(rows) or real(rows, shards, seed))
+    sharding.shard_rows(df)
+    assert groups[0].sum() == 2000 and groups[0].max() <= 12
+    taken = [r["taken"] for r in mixing.mix(df).collect()]
+    assert len(taken) == 2000 and sum(taken) == 3000  # words of one text; 150 % of all
+    slim = mixing.occurrence(df.withColumn("row", F.monotonically_increasing_id()), ["doc_id"], "row", "nth")
+    part = slim.groupBy(F.pmod(F.xxhash64(F.lit(7), "doc_id", F.lit(1), "nth"), F.lit(64)).alias("p")).count()
+    assert part.agg(F.max("count")).first()[0] <= 80
+
+
+LARGER = "/root/testdata/sf0.01"
+tables = pytest.mark.skipif(not os.path.isdir(LARGER), reason="no test tables")
+
+
+@tables
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
+def test_queries_equal_their_sql(spark, name):
+    got = registry.QUERIES[name](spark, LARGER)
     con = duckdb.connect()
-    for f in os.listdir(FOLDER):
-        con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM read_parquet('{FOLDER}/{f}')")
+    for f in os.listdir(LARGER):
+        con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM read_parquet('{LARGER}/{f}')")
     want = con.execute(registry.ORACLE_SQL[name])
     names = [c[0] for c in want.description]
     assert sorted(names) == sorted(got.columns)
     assert sorted(map(repr, map(tuple, got.select(*names).collect()))) == sorted(map(repr, want.fetchall()))
 
 
+def documents(spark):
+    return {r["doc_id"]: r for r in spark.read.parquet(f"{LARGER}/documents.parquet").collect()}
+
+
+def n_words(text):
+    return len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+
+
+@tables
+def test_near_duplicates_of_the_whole_table(spark):
+    from tests.llm.test_dedup import plain_components, plain_fingerprint
+
+    prints = [(i, plain_fingerprint(r["text"])) for i, r in sorted(documents(spark).items())]
+    groups = plain_components(prints)
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in registry.QUERIES["op2_simhash_near_dedup"](spark, LARGER).collect()}
+    assert got == {i: (f"{f:016x}", groups[i]) for i, f in prints}
+
+
+def whole_ids(docs):
+    from tokenizers import Tokenizer
+
+    from timeweave.llm.tokens import END_ID, default_path
+
+    order = sorted(docs)
+    found = Tokenizer.from_file(default_path()).encode_batch([docs[i]["text"] or "" for i in order], add_special_tokens=False)
+    return {i: np.array([*e.ids, END_ID], dtype="<u4") for i, e in zip(order, found, strict=True)}
+
+
+@tables
+def test_packed_pieces_and_token_files_of_the_whole_table(spark):
+    ids = whole_ids(documents(spark))
+    want = []
+    for i, x in ids.items():
+        at = 0
+        while at < len(x):  # the largest power of two that is left, 4096 at most
+            n = 1 << (min(4096, len(x) - at).bit_length() - 1)
+            want.append((i, at, n, zlib.crc32(x[at : at + n].tobytes()), len(x), 0))
+            at += n
+    got = registry.QUERIES["op4_power_of_two_packing"](spark, LARGER).collect()
+    assert sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"], r["offset"]) for r in got) == sorted(want)
+    assert len({r["sequence_id"] for r in got}) == len(got)
+    start, files = 0, []
+    for i, x in ids.items():
+        files.append((i, start, len(x), zlib.crc32(x.tobytes())))
+        start += len(x)
+    assert sorted(tuple(r) for r in registry.QUERIES["op5_pfor_token_files"](spark, LARGER).select("doc_id", "start", "n_tokens", "ids_crc32").collect()) == files
+
+
+@tables
+def test_mix_of_the_whole_table(spark):
+    docs = documents(spark)
+    got = registry.QUERIES["op7_entropy_balancing"](spark, LARGER).collect()
+    size = {i: n_words(r["text"]) for i, r in docs.items()}
+    assert {r["doc_id"]: r["size"] for r in got} == size and len(got) == len(docs)
+    order = sorted({r["source"] for r in docs.values()}, key=lambda s: (s is None, s or ""))
+    words = {s: sum(size[i] for i, r in docs.items() if r["source"] == s) for s in order}
+    # water level by bisection, another way than the operator's
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}
+    low, high = 0.0, 2.0 * sum(words.values())
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(level * weight[s], 2 * words[s]) for s in order) < 1.5 * sum(words.values()) else (low, level)
+    target = {s: min(high * weight[s], 2 * words[s]) for s in order}
+    taken = dict.fromkeys(order, 0)
+    for r in got:
+        s = docs[r["doc_id"]]["source"]
+        taken[s] += r["taken"]
+        assert r["source_size"] == words[s] and r["target"] == pytest.approx(target[s], rel=1e-9) and r["taken"] == r["copies"] * r["size"] and 0 <= r["copies"] <= 2
+    assert all(abs(taken[s] - target[s]) <= 0.01 * target[s] for s in order)
+
+
+@tables
+def test_shards_of_the_whole_table(spark):
+    docs = documents(spark)
+    got = registry.QUERIES["op10_hypergeometric_sharding"](spark, LARGER).collect()
+    check_shards(list(docs), got, 16)
+    text = {i: (r["text"] or "").encode() for i, r in docs.items()}
+    assert {r["doc_id"]: (r["size"], r["text_crc32"], r["grown_shard"]) for r in got} == {i: (len(t) + 1, zlib.crc32(t), None) for i, t in text.items()}
+    # a uniform shuffle: slots say nothing about ids (rank correlation of 1000 rows)
+    ranks = np.argsort(np.argsort([r["doc_id"] for r in got]))
+    place = np.argsort(np.argsort([r["slot"] * 16 + r["shard"] for r in got]))
+    assert abs(np.corrcoef(ranks, place)[0, 1]) < 0.12
+
+
+@tables
+def test_classifier_over_the_whole_table(spark):
+    """Scores of all rows from weights fitted here, without Spark, on the same rows: all of them are drawn."""
+    from timeweave.llm import quality_classifier as qc
+
+    docs = documents(spark)
+    facts = {i: qc.facts(r["text"] or "") for i, r in docs.items()}
+    codes = np.array([qc.votes(f) for f in facts.values()], dtype=np.int64)
+    kinds, n = np.unique(codes, return_counts=True)
+    labels = qc.fit_labels(qc.unpack_votes(kinds), n.astype(float))
+    rows = sorted(((qc.votes(f), *qc.features(f)) for f in facts.values()), key=lambda x: (x[0], x[1].tobytes()))
+    weights = qc.fit_scorer([(i, v) for _, i, v in rows], labels.bad(qc.unpack_votes(np.array([c for c, _, _ in rows]))))
+    model = qc.Classifier(labels, weights)
+    got = {r["doc_id"]: r for r in registry.QUERIES["op1_quality_classifier"](spark, LARGER).collect()}
+    assert set(got) == set(docs)
+    sure = {i: model.bad(f) for i, f in facts.items()}
+    assert all(got[i]["score_bad"] == pytest.approx(s, abs=0.02) for i, s in sure.items())
+    assert all(got[i]["kept"] == (s <= qc.THRESHOLD) for i, s in sure.items() if abs(s - qc.THRESHOLD) > 0.02)
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 def test_pipeline_stages_do_what_they_say(spark):
     import corpus_pipeline as p
+    from tests.llm.test_dedup import jaccard_components
 
     docs = p.table(spark, FOLDER, "documents")
     columns, seen = docs.columns, {}
@@ -153,8 +286,8 @@ def test_pipeline_stages_do_what_they_say(spark):
     assert {(r["doc_id"], r["text"]) for r in p.line_dedup.dedup_lines(before).collect()} == {(r["doc_id"], r["text"]) for r in after.collect()}
     assert after.filter("n_chars <> length(text)").count() == 0
     before, after = seen["simhash near-dedup"]
-    groups = p.simhash.near_duplicates(before)
-    assert {r[0] for r in groups.select("component_id").distinct().collect()} == {r["doc_id"] for r in after.collect()}
+    rows = before.orderBy("doc_id").collect()
+    assert {r["doc_id"] for r in after.collect()} == {rows[i]["doc_id"] for i in jaccard_components([r["text"] for r in rows])}
     before, after = seen["mixing sources"]
     copies = {r["doc_id"]: r["copies"] for r in p.mixing.mix(before).collect() if r["copies"]}
     assert {r["doc_id"]: r["count"] for r in after.groupBy("doc_id").count().collect()} == copies

@@ -26,15 +26,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from timeweave.llm.workspace import columns_of, local_table, stored, table, word_count
+from timeweave.llm.workspace import columns_of, local_table, occurrence, stored, table, word_count
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST_COPIES = 1.5, 2
-STEPS, TOLERANCE = 60, 1e-9
+STEPS, TOLERANCE = 100, 1e-9
+#: A dual that is farther than this from a target after all steps is an error.
+CONVERGED = 1e-6
 #: The multipliers of the sources are held by the driver; sources are a short configured list.
 MOST_SOURCES = 100_000
-#: Cells with more documents than 1 / HOT of all are ranked in SUBCELLS parts; there are HOT of them at most.
-HOT, SUBCELLS = 1000, 64
+#: Cells with more documents than 1 / HOT of all are ranked in parts of ROWS documents
+#: in the mean, SUBCELLS of them at least; there are HOT such cells at most.
+HOT, SUBCELLS, ROWS = 1000, 64, 250_000
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], share: float = SHARE, cap: float = MOST_COPIES) -> list[float]:
@@ -89,7 +92,7 @@ def solve_dual(cells: DataFrame, sources: list[tuple[int, int, int, float]], cap
             .agg(F.sum("taken").alias("taken"), F.sum("slope").alias("slope"))
             .collect()  # one row per source
         )
-        still = []
+        still, gaps = [], []
         for r in sums:
             s, gap = r["s"], r["taken"] - goal[r["s"]]
             if abs(gap) <= TOLERANCE * goal[s]:
@@ -102,7 +105,10 @@ def solve_dual(cells: DataFrame, sources: list[tuple[int, int, int, float]], cap
             if new != tilt[s]:
                 tilt[s] = new
                 still.append(s)
+                gaps.append(abs(gap) / goal[s])
         active = still
+    if active and max(gaps) > CONVERGED:
+        raise RuntimeError(f"the dual has not converged in {STEPS} steps: a source is {max(gaps):.2g} of its target away")
     return tilt
 
 
@@ -125,17 +131,15 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     in code-point order, a null source comes last and is a source of its own.  A
     null text has size 0 and 1 copy where its source's rates are not pushed to
     the bound; a source of no words has target 0.  A null id counts like any
-    other; rows alike in id, source and size are interchangeable.  ``row``
+    other; rows alike in id, source and size are interchangeable, and spread over
+    tasks like any other.  ``row``
     is the unique number in ``row_col``, or one given here.  An empty table gives
     no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     rows = columns_of(docs, doc_id=id_col, text=text_col, source=source_col, **({"number": row_col} if row_col else {}))
     number = F.col("number") if row_col else F.monotonically_increasing_id()
-    slim = stored(
-        rows.select("doc_id", "source", word_count(F.col("text")).alias("size"), number.alias("row")).withColumn("hash", F.xxhash64(F.lit(7), "doc_id", "size")),
-        "mix-rows",
-    )
+    slim = stored(rows.select("doc_id", "source", word_count(F.col("text")).alias("size"), number.alias("row")), "mix-rows")
     totals = slim.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("words")).limit(MOST_SOURCES + 1).collect()
     if len(totals) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
@@ -160,7 +164,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
 
     # rank documents by hash within their cell; large cells are ranked in parts
     every = sum(r["n"] for r in totals)
-    large = plan.filter(F.col("n") * HOT > every).select("s", "size", F.lit(SUBCELLS).alias("parts"))
+    large = plan.filter(F.col("n") * HOT > every).select("s", "size", F.greatest(F.lit(SUBCELLS), F.ceil(F.col("n") / ROWS)).alias("parts"))
+    # rows alike are told apart by a number, so that their hashes differ
+    slim = occurrence(slim, ["doc_id", "s", "size"], "row", "nth").withColumn("hash", F.xxhash64(F.lit(7), "doc_id", "size", "nth")).drop("nth")
     dealt = slim.join(F.broadcast(large), ["s", "size"], "left").withColumn("part", F.pmod("hash", F.coalesce("parts", F.lit(1)))).drop("parts")
     sub = dealt.groupBy("s", "size", "part").agg(F.count("*").alias("m"))
     before = Window.partitionBy("s", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

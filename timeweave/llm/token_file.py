@@ -32,14 +32,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timeweave.llm.line_dedup import batches
 from timeweave.llm.tokens import default_path, encoder
-from timeweave.llm.workspace import fresh_path, table
+from timeweave.llm.workspace import file_system, fresh_path, table
 
 MAGIC, BLOCK, PERCENTILE = b"TWPFOR1\n", 256, 90
 #: Blocks encoded or decoded at once.
@@ -204,10 +203,6 @@ class Reader:
             at += n
 
 
-def _at(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-
-
 def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
     """Writes the files into ``path`` and gives their list, one row per file:
     ``part, file, bytes, n_docs, n_ids, start`` in ascending order of documents.
@@ -220,7 +215,7 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, part = encoder(name), TaskContext.get().partitionId()
-        store, folder = _at(path)
+        store, folder = file_system(path)
         store.create_dir(folder, recursive=True)
         file = f"part-{part:07d}-{uuid.uuid4().hex}.ids"
         n = 0
@@ -256,7 +251,7 @@ def read_token_files(files: DataFrame, path: str) -> DataFrame:
     n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, folder = _at(path)
+        store, folder = file_system(path)
         for b in it:
             for file, size, start in zip(*(b.column(k).to_pylist() for k in ("file", "bytes", "start")), strict=True):
                 with store.open_input_file(f"{folder}/{file}") as f:

@@ -1,8 +1,9 @@
 """Shared-folder tables that cut lineage, and small helpers all operators use.
 
 Everything that must outlive an executor goes to the folder the cluster names
-in ``spark.checkpoint.dir``.  Only where that setting is absent (tests, a
-notebook on one machine) a private temporary folder stands in for it.
+in ``spark.checkpoint.dir``.  Only on a local master, where driver and executors
+are one process, a private temporary folder stands in for it; elsewhere its
+absence is an error.
 """
 
 from __future__ import annotations
@@ -11,10 +12,11 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The white space of every contract here: ``[\x20\x09-\x0D]``.
@@ -30,12 +32,20 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that the driver and all executors share (master {master})")
     if _own_folder is None:
         _own_folder = tempfile.mkdtemp(prefix="timeweave-")
         atexit.register(shutil.rmtree, _own_folder, ignore_errors=True)
     return f"file://{_own_folder}"
 
 
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The store that executors open with Arrow, and the path in it."""
+    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+
+
 def session_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/timeweave-{spark.sparkContext.applicationId}"
 
@@ -89,5 +99,20 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
+def occurrence(df: DataFrame, alike: Sequence[str], row: str, name: str) -> DataFrame:
+    """With ``name``: 0, 1, ... among the rows equal in the columns ``alike``, nulls too.
+
+    ``row`` is a stored number whose upper bits are a partition, as
+    ``monotonically_increasing_id`` gives it.  A group of equal rows is numbered
+    partition by partition, so no task holds more than a partition of it.
+    """
+    d = df.withColumn("__alike", F.xxhash64(*alike)).withColumn("__part", F.shiftright(row, 33))
+    before = Window.partitionBy("__alike").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = d.groupBy("__alike", "__part").agg(F.count(F.lit(1)).alias("__n"))
+    first = parts.select("__alike", "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
+    at = F.row_number().over(Window.partitionBy("__alike", "__part").orderBy(row)) - 1
+    return d.withColumn("__at", at).join(first, ["__alike", "__part"]).withColumn(name, F.col("__first") + F.col("__at")).drop("__alike", "__part", "__at", "__first")
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
