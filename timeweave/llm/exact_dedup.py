@@ -9,7 +9,10 @@ One pass over the texts reduces every row to a digest.  On the digests:
    the row that stays is found by an aggregation that combines on the map side;
 3. this table of at most ``1 / support`` rows is broadcast and decides the rows
    of frequent digests where they lie, without moving them;
-4. the remaining digests, none of which can be large, are shuffled as usual.
+4. the remaining digests, none of which has ``support`` of the rows, are shuffled
+   as usual: an aggregation that combines on the map side finds their winners, and
+   a join brings them back.  No group is ever gathered or sorted, so the join may
+   split what is still large for a task.
 
 The digest is SHA-256 of the text without white space, so equal digests are
 equal texts for every practical purpose.
@@ -17,12 +20,12 @@ equal texts for every practical purpose.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timeweave.llm.workspace import columns_of, stored, table, without_blanks
 
-SUPPORT = 1 / 256
+SUPPORT = 1 / 1024
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
@@ -54,8 +57,8 @@ def _decided(rows: DataFrame, support: float) -> DataFrame:
         "winners",
     )
     frequent = digests.join(F.broadcast(winners), "sha")
-    same = Window.partitionBy("sha")
-    others = digests.join(F.broadcast(winners.select("sha")), "sha", "left_anti").withColumns({"best": F.min("rank").over(same), "size": F.count(F.lit(1)).over(same)})
+    rest = digests.join(F.broadcast(winners.select("sha")), "sha", "left_anti")
+    others = rest.join(rest.groupBy("sha").agg(F.min("rank").alias("best"), F.count("*").alias("size")), "sha")
     out = ["doc_id", F.col("best.doc_id").alias("keep_id"), F.col("size").alias("group_size"), (F.col("rid") == F.col("best.rid")).alias("kept"), F.col("sha").alias("text_sha256"), "rid"]
     return frequent.select(*out).unionByName(others.select(*out))
 

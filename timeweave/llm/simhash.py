@@ -35,7 +35,6 @@ from timeweave.llm.line_dedup import batches
 from timeweave.llm.workspace import stored, table
 
 SHINGLE, MOST_BITS, SEED = 3, 3, 42
-NO_ID = 2**63 - 1
 #: Up to so many members an anchor compares all of them with those it covers.
 PAIRWISE = 2048
 _CHUNK = 1 << 15
@@ -69,7 +68,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             f = np.array([fingerprint(t or "", shingle) for t in b.column("text").to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(f.view(np.int64))], ["doc", "f"])
 
-    rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("doc"), docs[text_col].alias("text"))
+    rows = docs.select(docs[id_col].cast("long").alias("doc"), docs[text_col].alias("text"))
     return rows.mapInArrow(run, "doc long, f long")
 
 
@@ -225,20 +224,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Fingerprints that differ in at most ``most`` bits link; ``component_id`` is
     the smallest id in the linked group.  A null or blank text has fingerprint
     zero, a text of fewer words than a shingle is one shingle, both link like
-    any other.  A null id is larger than all others and comes back as null; rows
-    of one id stand side by side.  An empty table gives no rows; other columns
+    any other.  A null id is larger than all others, so a group has the null
+    component only if it has no other id; rows of one id stand side by side.  An empty table gives no rows; other columns
     are ignored.
     """
     prints = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    unique = stored(prints.groupBy("f").agg(F.min("doc").alias("first")), "unique-fingerprints")
+    unique = stored(prints.groupBy("f").agg(F.min("doc").alias("first")), "unique-fingerprints")  # min passes over nulls
     stars = components(links(unique, most))
     group = unique.join(stars.select(F.col("a").alias("f"), "b"), "f", "left").select("f", F.coalesce("b", "f").alias("g"), "first")
     group = stored(group, "groups")
     least = group.groupBy("g").agg(F.min("first").alias("least"))
     named = group.join(least, "g").select("f", "least")
-    back = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias({"doc": "doc_id", "least": "component_id"}[c])
     # copies make a fingerprint frequent: its documents are the large side, which AQE splits
-    return prints.join(named, "f").select(back("doc"), F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), back("least"))
+    return prints.join(named, "f").select(F.col("doc").alias("doc_id"), F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
