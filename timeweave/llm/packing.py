@@ -21,9 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timeweave.llm.line_dedup import batches
 from timeweave.llm.tokens import default_path, encoder
-from timeweave.llm.workspace import table
+from timeweave.llm.workspace import batches, table
 
 LONGEST = 4096
 
@@ -52,7 +51,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, part = encoder(path), TaskContext.get().partitionId()
         counts = [0] * 17
-        for b in batches(it, 4 << 20):
+        for b in batches(it, 2 << 20):
             row, start, length, crc, total, seq, bucket, pieces = [], [], [], [], [], [], [], []
             for r, ids in enumerate(code.encode([t or "" for t in b.column("text").to_pylist()])):
                 data = memoryview(ids.astype("<u4").tobytes())
@@ -79,6 +78,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
                 columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
+        code.forget()
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int" + ", ids array<int>" * with_ids
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, schema)

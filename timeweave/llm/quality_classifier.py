@@ -28,8 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timeweave.llm.line_dedup import batches
-from timeweave.llm.workspace import table
+from timeweave.llm.workspace import batches, release, table
 
 TRAIN_ROWS, SEED = 8192, 5
 BITS, EPOCHS, BATCH, RATE, DECAY = 18, 12, 128, 0.3, 1e-6
@@ -324,7 +323,9 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
 
     @F.arrow_udf("boolean")
     def good(texts: pa.Array) -> pa.Array:
-        return pa.array([model.value.bad(facts(t or "")) <= threshold for t in texts.to_pylist()], pa.bool_())
+        stays = pa.array([model.value.bad(facts(t or "")) <= threshold for t in texts.to_pylist()], pa.bool_())
+        release()
+        return stays
 
     return docs.filter(good(docs[text_col]))
 

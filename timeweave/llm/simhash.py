@@ -31,8 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timeweave.llm.components import components
-from timeweave.llm.line_dedup import batches
-from timeweave.llm.workspace import stored, table
+from timeweave.llm.workspace import batches, stored, table
 
 SHINGLE, MOST_BITS, SEED = 3, 3, 42
 #: Up to so many members an anchor compares all of them with those it covers.

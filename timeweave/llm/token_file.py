@@ -36,9 +36,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timeweave.llm.line_dedup import batches
 from timeweave.llm.tokens import default_path, encoder
-from timeweave.llm.workspace import file_system, fresh_path, table
+from timeweave.llm.workspace import batches, file_system, fresh_path, table
 
 MAGIC, BLOCK, PERCENTILE = b"TWPFOR1\n", 256, 90
 #: Blocks encoded or decoded at once.
@@ -221,7 +220,7 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
         n = 0
         with store.open_output_stream(f"{folder}/{file}") as out:
             w = Writer(out)
-            for b in batches(it, 4 << 20):
+            for b in batches(it, 4 << 20, tidy=False):
                 w.add(b.column("doc_id").to_pylist(), code.encode([t or "" for t in b.column("text").to_pylist()]))
                 n += b.num_rows
             w.close()

@@ -120,6 +120,10 @@ class Encoder:
             if collects:
                 gc.enable()
 
+    def forget(self) -> None:
+        """Drops the old generation, as the worker may idle beside other work from here on."""
+        self.old_chunks, self.old_units = {}, {}
+
     def _encode(self, texts: list[str], end: int | None) -> list[np.ndarray]:
         if len(self.chunks) > MOST_KEPT:
             self.old_chunks, self.chunks = self.chunks, {}

@@ -9,10 +9,11 @@ absence is an error.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyarrow import fs
@@ -78,6 +79,25 @@ def local_table(spark: SparkSession, **columns: tuple[pa.DataType, Iterable]) ->
     return spark.createDataFrame(pa.table({name: pa.array(list(values), kind) for name, (kind, values) in columns.items()}))
 
 
+def release() -> None:
+    """Gives a Python worker's freed memory back, as it idles beside the next stage's work."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library that does so by itself
+        pass
+
+
+def batches(it: Iterator[pa.RecordBatch], most: int = 16 << 20, tidy: bool = True) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about ``most`` bytes, one row at least; ``tidy`` frees memory in between."""
+    for batch in it:
+        n = max(1, min(batch.num_rows, int(batch.num_rows * most / max(1, batch.nbytes))))
+        for at in range(0, batch.num_rows, n):
+            yield batch.slice(at, n)
+        if tidy:
+            release()
+
+
 def columns_of(df: DataFrame, **wanted: str) -> DataFrame:
     """Only the named input columns, under the operator's own names.
 
