@@ -55,7 +55,15 @@ def test_exact_edges(spark):
     assert len(blank) == 4 and blank[0]["keep_id"] == 3
     assert {r["keep_id"] for r in by[hashlib.sha256(b"sametexthereandthere").hexdigest()]} == {7}
     assert exact_dedup.exact_duplicates(frame(spark, [])).count() == 0
-    assert "Python" not in exact_dedup.exact_duplicates(frame(spark, EDGES))._jdf.queryExecution().executedPlan().toString()
+    plan = exact_dedup.exact_duplicates(frame(spark, EDGES))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Window" not in plan  # no group is gathered, however the support is set
+
+
+def test_exact_with_one_text_under_the_support(spark):
+    rows = [(i, "one text", "x") for i in range(300)] + [(1000 + i, f"text {i}", "x") for i in range(50)]
+    for support in (1 / 1024, 0.99):  # at 0.99 nothing is frequent: the large group goes the ordinary way
+        out = exact_dedup.exact_duplicates(frame(spark, rows), support=support)
+        assert {(r["keep_id"], r["group_size"]) for r in out.filter("doc_id < 300").collect()} == {(0, 300)} and out.filter("kept").count() == 51
 
 
 def plain_fingerprint(text):
@@ -194,8 +202,9 @@ def test_lines_against_plain(spark):
 
 def test_keep_bitmaps(spark):
     rows = [(1, "first long line\nshort\nsecond long line", "x"), (2, "second long line\nthird long line", "x")]
-    docs = line_dedup._prepared(frame(spark, rows), "doc_id", "text")
-    got = {r["doc"]: line_dedup.unpack_bitmap(r["keep"], r["n_lines"]).tolist() for r in line_dedup.keep_bitmaps(docs).collect()}
+    _, docs = line_dedup.addressed(frame(spark, rows), "doc_id", "text")
+    maps = line_dedup.keep_bitmaps(docs).join(docs.select("doc", "file", "row"), ["file", "row"])
+    got = {r["doc"]: line_dedup.unpack_bitmap(r["keep"], r["n_lines"]).tolist() for r in maps.collect()}
     assert got == {1: [True, True, True], 2: [False, True]}
 
 
@@ -207,14 +216,49 @@ def test_line_edges(spark):
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
 
+def test_line_addresses(spark, tmp_path):
+    """Files in several splits, filtered, renamed and joined tables, a column named like Spark's own, and chunks of few rows."""
+    r = random.Random(12)
+    rows = [(i, "\n".join(f"a line of number {r.randint(0, 300)}" for _ in range(r.randint(0, 9))), "x") for i in range(900)]
+    want = {i: t for i, (_, _, t) in plain_lines(rows).items()}
+    frame(spark, rows).repartition(3).write.option("parquet.block.size", 4096).parquet(str(tmp_path / "t"))
+    files = spark.read.parquet(str(tmp_path / "t"))
+    assert line_dedup._scans_files(files) and line_dedup._scans_files(files.filter("doc_id >= 0").select("doc_id", "text"))
+    others = spark.createDataFrame([(i,) for i in range(900)], "doc_id long")
+    for df in (files, files.filter("doc_id >= 0").withColumnRenamed("source", "_metadata"), files.join(others, "doc_id"), files.unionByName(files.limit(0))):
+        whole = line_dedup.drop_repeated_lines(df)
+        assert whole.columns == df.columns
+        assert {x["doc_id"]: x["text"] for x in whole.collect()} == want
+        assert "Exchange" not in whole._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bitmaps_come_back_by_address(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup.Bitmaps, "CHUNK", 4)
+    maps = [(f, i, 3, i % 3, bytes([f % 7, i])) for f in (-5, 11, 2**62) for i in range(30)]
+    kept = line_dedup.Bitmaps.write(spark.createDataFrame(maps, "file long, row long, n_lines int, n_dropped int, keep binary"))
+    kept.CHUNK = 4
+    got = kept.of(np.array([m[0] for m in maps]), np.array([m[1] for m in maps]))
+    assert got == [m[4] if m[3] else None for m in maps]
+
+
+def test_largest_id_is_no_null(spark):
+    top = 2**63 - 1
+    rows = [(top, "one line that is long\nmore of it", "a"), (None, "one line that is long\nother of it", "a"), (None, "other of it!", "a")]
+    got = sorted(((x["doc_id"], x["n_dropped"]) for x in line_dedup.dedup_lines(frame(spark, rows)).collect()), key=repr)
+    assert got == sorted([(top, 0), (None, 1), (None, 0)], key=repr)
+    near = sorted(((x["doc_id"], x["component_id"]) for x in simhash.near_duplicates(frame(spark, [(top, "a b c d", "x"), (None, "a b c d", "x"), (None, "e f g h", "x")])).collect()), key=repr)
+    assert near == sorted([(top, top), (None, top), (None, None)], key=repr)
+
+
 def test_first_occurrences_across_batches():
     import pyarrow as pa
 
     h = [(1, 1), (1, 1), (1, 1), (1, 2), (2, 2), (2, 2)]
     doc = [5, 5, 6, 7, 8, 9]
-    table = line_dedup._table(np.array(h), np.array(doc), np.zeros(6, dtype=np.int64), np.arange(6, dtype=np.int32), np.full(6, 9, dtype=np.int32), None)
+    doc = np.array(doc)
+    table = line_dedup._table(np.array(h), [doc, np.zeros(6, dtype=bool), doc * 10, doc], np.arange(6, dtype=np.int32), np.full(6, 9, dtype=np.int32), None)
     for size in range(1, 7):
-        out = [x for b in line_dedup.later_ones(iter([table.slice(i, size) for i in range(0, 6, size)])) for x in b.column("doc").to_pylist()]
+        out = [x for b in line_dedup.later_ones(iter([table.slice(i, size) for i in range(0, 6, size)])) for x in b.column("row").to_pylist()]
         assert out == [6, 9], size
     assert isinstance(table, pa.RecordBatch)
 
@@ -271,6 +315,32 @@ def test_similar_texts_against_all_pairs(spark, monkeypatch):
     assert shingle_dedup.near_copies(docs.limit(0)).count() == 0
 
 
+def test_similar_texts_in_small_blocks(spark, monkeypatch):
+    """Shingles dealt over blocks, and hot keys over tasks, give the same groups."""
+    monkeypatch.setattr(shingle_dedup, "FEW", 2)
+    monkeypatch.setattr(shingle_dedup, "BLOCK", 5)
+    monkeypatch.setattr(shingle_dedup, "HOT", 4)
+    monkeypatch.setattr(shingle_dedup, "MOST_BITS", 256)
+    texts = edited_texts(13)
+    groups = {}
+    for r in shingle_dedup.near_copies(spark.createDataFrame(list(enumerate(texts)), "row long, text string")).collect():
+        groups.setdefault(r["component"], []).append(r["row"])
+    assert {i: min(g) for g in groups.values() for i in g} == dict(enumerate(jaccard_components(texts)))
+
+
+def test_bitmaps_lose_no_similar_pair():
+    rng = np.random.default_rng(8)
+    sets = []
+    for n in (3, 9, 31, 33, 70, 127, 129, 500, 900):
+        base = rng.integers(0, 2**63, n, dtype=np.uint64)
+        for share in (0, 0.05, 0.1, 0.2, 0.3, 0.6):
+            k = int(n * share)
+            sets.append(np.unique(np.concatenate([base[k:], rng.integers(0, 2**63, int(rng.integers(0, k + 1)), dtype=np.uint64)])))
+    got = {(min(i, j), max(i, j)) for a, b in shingle_dedup.possibly_alike(np.array([len(s) for s in sets]), [shingle_dedup.bitmap(s) for s in sets]) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+    alike = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))}
+    assert alike <= got and len(got) < 2 * len(alike)
+
+
 def test_pipeline_stage_drops_all_similar_texts(spark):
     import corpus_pipeline as p
 
