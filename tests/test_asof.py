@@ -13,6 +13,7 @@ from timeweave.plans.chooser import NAMED, cost
 PLANS = ["fill", "nested", "probe_right", "probe_left", "bucketed"]
 PRICE, ORDER = "time long, stock string, price long", "time long, stock string, amount long"
 B = 978307200
+# fixed values: rows whose sums are known
 SMALL_PRICES = [(B + 60 * i, s, i + 1) for s in ("APPL", "MSFT", "GOOG") for i in range(3)]
 SMALL_ORDERS = [(B - 30 + 60 * i, s, a) for s, amounts in (("APPL", (516, 294, 2413)), ("GOOG", (933, 2345, 1058)), ("DATA", (665, 1795, 1837))) for i, a in enumerate(amounts)]
 LEFT_PRICES = [(19, "S1", 1), (18, "S2", 2), (20, "S3", 3), (10, "S2", 4), (5, "S2", 5), (11, "S2", 6), (19, "S3", 7), (16, "S2", 8), (15, "S2", 9)]
@@ -105,6 +106,99 @@ def test_no_key_and_two_keys(spark, strategy):
     assert sorted((tuple(r) for r in two.select("id", "rid").collect()), key=repr) == want
 
 
+NAN = float("nan")
+
+
+@pytest.mark.parametrize("strategy", PLANS)
+@pytest.mark.parametrize(("direction", "exact"), [("backward", True), ("backward", False), ("forward", True), ("forward", False)])
+def test_every_plan_gives_one_answer(spark, strategy, direction, exact):
+    """All kinds of join, with NaN and signed zeros among the keys, repeated times and left columns named like inner ones."""
+    r = random.Random(17)
+    keys = [NAN, 0.0, -0.0, 1.5, None]
+    left = [(i, r.choice(keys), r.choice([*range(9), None])) for i in range(45)]
+    right = [(1000 + i, r.choice(keys), r.choice([*range(9), None]), r.choice([None, 1, 2, 3])) for i in range(45)]
+    same = lambda k: None if k is None else "nan" if k != k else abs(k)
+    named = [*["id", "k", "t"], "__m", "__n", "__row", "__to", "__r", "__t", "__k0", "__side", "a.b"]
+    a = spark.createDataFrame([(*x, *["mine"] * 9) for x in left], "id long, k double, t long, " + ", ".join(f"`{c}` string" for c in named[3:]))
+    b = spark.createDataFrame(right, "rid long, k double, rt long, v long")
+    plain = [[(x[0], same(x[1]), *x[2:]) for x in side] for side in (left, right)]
+    for how in ("inner", "left", "right", "full", "semi", "anti"):
+        out = asof_join(a, b, "k", "t", "rt", direction, exact, how, tie_break=["v", "rid"], strategy=strategy)
+        assert out.columns[: len(named)] == named
+        got = out.select("id", *([] if how in ("semi", "anti") else ["rid"]), "`__n`", "`a.b`").collect()
+        assert sorted((tuple(x)[:-2] for x in got), key=repr) == expected(*plain, direction, exact, how), how
+        assert {tuple(x)[-2:] for x in got} <= {("mine", "mine"), (None, None)}
+        if how != "full":
+            continue
+        default = asof_join(a, b.select("k", "rt", "v", "rid"), "k", "t", "rt", direction, exact, how, strategy=strategy)  # ties by v and rid as well
+        assert sorted((tuple(x) for x in default.select("id", *([] if how in ("semi", "anti") else ["rid"])).collect()), key=repr) == expected(*plain, direction, exact, how), how
+
+
+def test_right_rows_keep_their_keys(spark):
+    a = spark.createDataFrame([(1, "x", 5)], "id int, k string, t int")
+    b = spark.createDataFrame([("x", 9, 1), ("y", 1, 2), (None, 1, 3), ("x", 4, 4), ("x", 4, 4)], "k string, t long, v long")
+    got = sorted((tuple(r) for r in asof_join(a, b, "k", "t", "t", how="full").collect()), key=repr)
+    assert got == sorted([(1, "x", 5, 4, 4), (None, "x", None, 4, 4), (None, "x", None, 9, 1), (None, "y", None, 1, 2), (None, None, None, 1, 3)], key=repr)
+    plan = asof_join(a, b, "k", "t", "t", how="full")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_buckets_follow_the_rows(spark, monkeypatch):
+    from timeweave.plans import bucketed as module
+
+    assert module.how_many(10) == 64 and module.how_many(10**9) == 1000 and module.how_many(10**13) == module.MOST_BUCKETS
+    rows = spark.range(3000).selectExpr("CAST(id AS DOUBLE) AS x")
+    cuts = [float(c) for c in range(0, 3000, 7)]
+    got = {r["x"]: r["b"] for r in rows.select("x", module.bucket_of(F.col("x"), cuts).alias("b")).collect()}
+    assert got == {float(i): sum(c <= i for c in cuts) for i in range(3000)}
+    # one key: no bucket holds more than a few times its share
+    sizes = []
+    real = module.bucket_of
+    monkeypatch.setattr(module, "bucket_of", lambda number, cuts: sizes.append(cuts) or real(number, cuts))
+    a = spark.range(4000).selectExpr("'k' AS k", "id AS t")
+    assert asof_join(a, a, "k", "t", "t", strategy="bucketed").count() == 4000
+    per = spark.range(4000).select(real(F.col("id").cast("double"), sizes[0]).alias("b")).groupBy("b").count().agg(F.max("count")).first()[0]
+    assert per <= 4 * 4000 / 64
+
+
+def test_a_strategy_of_ones_own(spark):
+    from timeweave.plans import chooser
+    from timeweave.plans.fill import fill
+
+    seen = []
+    chooser.register("own", lambda left, right, spec, note: seen.append(note) or fill(left, right, spec), note=5)
+    try:
+        p, o = spark.createDataFrame(SMALL_PRICES, PRICE), spark.createDataFrame(SMALL_ORDERS, ORDER)
+        assert asof_summary(asof_value(asof_join(o, p, "stock", strategy="own"))).first()["size"] == 4 and seen == [5]
+        with pytest.raises(ValueError):
+            chooser.register("fill", fill)
+    finally:
+        chooser.NAMED.pop("own"), chooser.PLANS.pop("own")
+
+
+@pytest.mark.parametrize("name", ["asof_value_sum", "asof_strict_before", "asof_on_or_after", "asof_strict_after"])
+def test_auto_stays_in_the_jvm_above_a_join(spark, name):
+    """The estimate of a join's size passes the probe's threshold; the sizes of what it reads don't."""
+    import os
+
+    from timeweave import queries
+
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    plan = queries.QUERIES[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "InArrow" not in plan and "Python" not in plan
+
+
+@pytest.mark.parametrize("strategy", ["probe_right", "probe_left"])
+def test_wide_rows_are_not_broadcast(spark, strategy, monkeypatch):
+    monkeypatch.setattr(probe, "LIMIT_BYTES", 100)
+    p, o = spark.createDataFrame(SMALL_PRICES, PRICE), spark.createDataFrame(SMALL_ORDERS, ORDER)
+    out = asof_join(o, p, "stock", strategy=strategy)
+    assert "InArrow" not in out._jdf.queryExecution().executedPlan().toString()
+    assert asof_summary(asof_value(out)).first()["value_sum"] == 9581
+
+
 @pytest.mark.parametrize("strategy", ["probe_right", "probe_left"])
 def test_probe_beyond_its_limit(spark, strategy, monkeypatch):
     left, right = random_rows(8, 30, 30, ["a", "b"], 15)

@@ -88,3 +88,39 @@ def test_stream_against_a_table(spark, tmp_path):
     q.awaitTermination(60)
     assert sorted((r["amount"], r["price"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, 10), (2, 20)]
     assert asof_join(feed, feed, "stock").count() == 2
+
+
+def test_a_folder_of_mixed_headers(spark, tmp_path):
+    from timeweave.sources.tables import load_prices
+
+    (tmp_path / "a.csv").write_text("time,stock,price\n1,x,5\n2,y,6\n")
+    (tmp_path / "b.csv").write_text("3,x,7\r\n4,y,8")
+    (tmp_path / "c.csv").write_text("")
+    assert sorted(map(tuple, load_prices(spark, str(tmp_path)).collect())) == [(1, "x", 5), (2, "y", 6), (3, "x", 7), (4, "y", 8)]
+    (tmp_path / "d.csv").write_text("5,x,seven\n")
+    with pytest.raises(Exception, match="MALFORMED|BAD"):
+        load_prices(spark, str(tmp_path)).collect()
+
+
+def test_command_line(spark, tmp_path):
+    from timeweave.sources.__main__ import main
+    from timeweave.sources.tables import load_order_book, load_prices
+
+    main(["prices", str(tmp_path / "p"), "--ticks", "20", "--stocks", "3"], spark)
+    assert load_prices(spark, str(tmp_path / "p")).count() == 60
+    main(["orders", str(tmp_path / "o"), "--rows", "50", "--zipf", "1.5"], spark)
+    assert load_order_book(spark, str(tmp_path / "o")).count() == 50
+    main(["books", str(tmp_path / "b"), "--sizes", "10", "20", "--format", "parquet"], spark)
+    assert sorted(p.name for p in (tmp_path / "b").iterdir()) == sorted(f"{law}-{n}" for law in ("uniform", "zipf-1.1", "zipf-1.3", "zipf-1.5", "zipf-2.0") for n in (10, 20))
+    with pytest.raises(SystemExit):
+        main(["orders", "x", "--zipf", "1", "--uniform"], spark)
+
+
+def test_books_and_orders_within(spark):
+    from timeweave.sources import generators as g
+
+    late = g.percentile_books(spark, 200, 1000, 3, [0.0, 0.9])
+    assert late[0.9].agg({"time": "min"}).first()[0] >= 900 > late[0.0].agg({"time": "min"}).first()[0]
+    prices = g.tick_prices(spark, 5, 1)
+    assert g.orders_within(prices, 100, "S-0").filter("time < 0 OR time > 40").count() == 0
+    assert g.orders_within(prices, 100, "none").count() == 0

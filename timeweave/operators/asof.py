@@ -4,19 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
 
-from timeweave.plans.base import R, T, TIE, Spec
-from timeweave.plans.bucketed import BUCKETABLE, bucketed
-from timeweave.plans.chooser import NAMED, choose
-from timeweave.plans.fill import fill
+from timeweave.plans.base import LOST, R, T, TIE, Spec
+from timeweave.plans.bucketed import BUCKETABLE
+from timeweave.plans.chooser import NAMED, PLANS, choose
 from timeweave.plans.filters import dynamic_bound, keys_of_other, static_bound
-from timeweave.plans.nested import nested
-from timeweave.plans.probe import probe_left, probe_right
 
-PLANS = {"fill": fill, "nested": nested, "probe_left": probe_left, "probe_right": probe_right, "bucketed": bucketed}
+
+
+def _column(df: DataFrame, name: str) -> Column:
+    return df[f"`{name}`"]
+
+
 HOWS = ("inner", "left", "right", "full", "semi", "anti")
 COMPARISONS = {"<=": ("backward", True), "<": ("backward", False), ">=": ("forward", True), ">": ("forward", False)}
 
@@ -42,11 +44,13 @@ def asof_join(
     it, without ``allow_exact``), ``forward`` the earliest at or after;
     ``equal`` asks for the same time.  Of right rows alike in key and time the
     greatest by ``tie_break`` wins (default: all payload columns in order; null
-    is smallest).  A null key or time matches nothing.
+    is smallest).  A null key or time matches nothing; a NaN key matches NaN.
 
     The result has the left columns, then the right ones without the keys; a
     right column of a taken name gets ``suffix``.  ``right`` and ``full`` also
-    give the right rows that no left row took; their keys come from there.
+    give the right rows that no left row took; their keys come from there, and
+    the timeline of ``fill`` or ``bucketed`` finds them in the same pass,
+    whatever the strategy.
     ``semi`` and ``anti`` give left columns alone.
     """
     keys = [on] if isinstance(on, str) else list(on)
@@ -59,67 +63,65 @@ def asof_join(
     if direction == "equal":
         return asof_join(left, right, [*keys, left_time], left_time, right_time, "backward", True, how, tie_break, strategy, suffix) if left_time == right_time else _equal(left, right, keys, left_time, right_time, how, tie_break, strategy, suffix)
 
-    spec = Spec(tuple(f"__k{i}" for i in range(len(keys))), direction == "backward", allow_exact)
-    payload = [c for c in right.columns if c not in keys and c != right_time]
-    ties = list(tie_break) if tie_break is not None else [c for c in payload if isinstance(right.schema[c].dataType, AtomicType)]
-    valid = lambda df, time: [df[c].isNotNull() for c in (*keys, time)]
-
-    def both(conditions):
+    shown = [c for c in right.columns if c not in keys]
+    payload = [c for c in shown if c != right_time]
+    atomic = lambda c: isinstance(right.schema[c].dataType, AtomicType)
+    ties = list(tie_break) if tie_break is not None else [c for c in payload if atomic(c)]
+    # the shown columns, time first, are in the default order of ties already
+    itself = tie_break is None and len(ties) == len(payload) and atomic(right_time)
+    spec = Spec(tuple(f"__k{i}" for i in range(len(keys))), direction == "backward", allow_exact, R if itself else TIE, how in ("right", "full"))
+
+    def valid(df, time):
         out = F.lit(True)
-        for c in conditions:
-            out = out & c
+        for c in (*keys, time):
+            out = out & _column(df, c).isNotNull()
         return out
 
-    a_ok, b_ok = both(valid(left, left_time)), both(valid(right, right_time))
-    a = left.filter(a_ok).withColumns({k: left[c] for k, c in zip((*spec.keys, T), (*keys, left_time), strict=True)})
-    row = F.struct(*[right[c] for c in right.columns]) if right.columns else F.struct(F.lit(1))
-    outer = how in ("right", "full")
-    b = right.filter(b_ok).select(
-        *[right[c].alias(k) for k, c in zip(spec.keys, keys, strict=True)],
-        right[right_time].alias(T),
-        (F.struct(*[right[c] for c in ties]) if ties else F.struct(F.lit(0).alias("none"))).alias(TIE),
-        row.alias(R),
-    )
-    if outer:  # a number that tells right rows of a key apart, so that those taken can be named
-        b = b.withColumn("__n", F.row_number().over(Window.partitionBy(*spec.keys).orderBy(T, TIE)))
-        feed = b.select(*spec.keys, T, TIE, F.struct("__n", R).alias(R))
-    else:
-        feed = b
-
-    name = choose(a, feed, spec.keys, isinstance(left.schema[left_time].dataType, BUCKETABLE)) if strategy == "auto" else strategy
+    def prepared(df, time):
+        return [*[_column(df, c).alias(k) for k, c in zip(spec.keys, keys, strict=True)], _column(df, time).alias(T)]
+
+    def row(df):
+        return F.struct(*[_column(df, c).alias(f"f{i}") for i, c in enumerate([right_time, *payload])]) if right_time in shown else F.struct(*[_column(df, c).alias(f"f{i}") for i, c in enumerate(payload)], F.lit(1).alias("one"))
+
+    field = {c: f"f{i}" for i, c in enumerate([right_time, *payload] if right_time in shown else payload)}
+    a_ok, b_ok = valid(left, left_time), valid(right, right_time)
+    own = [f"__l{i}" for i in range(len(left.columns))]
+    a = left.filter(a_ok).select(*[_column(left, c).alias(o) for o, c in zip(own, left.columns, strict=True)], *prepared(left, left_time))
+    tie = [] if itself else [(F.struct(*[_column(right, c).alias(f"f{i}") for i, c in enumerate(ties)]) if ties else F.struct(F.lit(0).alias("none"))).alias(TIE)]
+    b = right.filter(b_ok).select(*prepared(right, right_time), *tie, row(right).alias(R))
+
+    name = choose(a, b, spec.keys, isinstance(left.schema[left_time].dataType, BUCKETABLE)) if strategy == "auto" else strategy
     plan, options = NAMED[name]
     options = dict(options)
-    probe, reach = a, feed
+    probe, reach = a, b
     if options.pop("semi", False) and how in ("inner", "semi"):
-        probe = keys_of_other(probe, feed, spec)
+        probe = keys_of_other(probe, b, spec)
     if (options.pop("static", False) or static_filter) and how in ("inner", "semi", "right"):
-        probe = static_bound(probe, feed, spec)
-    if (options.pop("dynamic", False) or dynamic_filter) and not outer:
-        reach = dynamic_bound(probe, feed, spec)
+        probe = static_bound(probe, b, spec)
+    if (options.pop("dynamic", False) or dynamic_filter) and not spec.outer:
+        reach = dynamic_bound(probe, b, spec)
     matched = PLANS[plan](probe, reach, spec, **options)
 
     found = F.col(R).isNotNull()
-    own = [F.col(f"`{c}`") for c in left.columns]
-    if how == "semi":
-        return matched.filter(found).select(*own)
+    back = [F.col(o).alias(c) for o, c in zip(own, left.columns, strict=True)]
     lost = left.filter(~F.coalesce(a_ok, F.lit(False)))
+    if how == "semi":
+        return matched.filter(found).select(*back)
     if how == "anti":
-        return matched.filter(~found).select(*own).unionByName(lost)
-    if outer:
-        matched = matched.withColumns({"__n": F.col(f"{R}.__n"), R: F.col(f"{R}.{R}")})
-    shown = [c for c in right.columns if c not in keys]
+        return matched.filter(~found).select(*back).unionByName(lost)
     renamed = {c: c + suffix if c in left.columns else c for c in shown}
+    if spec.outer:  # a right row of no left row has the keys alone of the left columns
+        of_key = dict(zip(keys, spec.keys, strict=True))
+        back = [F.when(F.col(LOST), F.col(of_key[c]).cast(left.schema[c].dataType)).otherwise(F.col(o)).alias(c) if c in of_key else F.col(o).alias(c) for o, c in zip(own, left.columns, strict=True)]
     out = matched.filter(found) if how in ("inner", "right") else matched
-    result = out.select(*own, *[F.col(f"{R}.`{c}`").alias(renamed[c]) for c in shown])
+    result = out.select(*back, *[F.col(f"{R}.{field[c]}").alias(renamed[c]) for c in shown])
     empty = [F.lit(None).cast(right.schema[c].dataType).alias(renamed[c]) for c in shown]
     if how in ("left", "full"):
-        result = result.unionByName(lost.select(*[lost[c] for c in left.columns], *empty))
-    if outer:
-        taken = matched.filter(found).select(*spec.keys, "__n").distinct()
-        rest = b.join(taken, [*spec.keys, "__n"], "left_anti").select(R)
-        rest = rest.unionByName(right.filter(~F.coalesce(b_ok, F.lit(False))).select(row.alias(R)))
-        filled = [F.col(f"{R}.`{c}`").alias(c) if c in keys else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns]
-        result = result.unionByName(rest.select(*filled, *[F.col(f"{R}.`{c}`").alias(renamed[c]) for c in shown]))
+        result = result.unionByName(lost.select(*[_column(lost, c) for c in left.columns], *empty))
+    if spec.outer:
+        rest = right.filter(~F.coalesce(b_ok, F.lit(False)))
+        filled = [_column(rest, c).cast(left.schema[c].dataType).alias(c) if c in keys else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns]
+        result = result.unionByName(rest.select(*filled, *[_column(rest, c).alias(renamed[c]) for c in shown]))
     return result
 
 

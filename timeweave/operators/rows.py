@@ -27,13 +27,13 @@ def forward_fill(df: DataFrame, keys: Sequence[str], order: Sequence[str], colum
 
 
 def latest_at_or_before(targets: DataFrame, data: DataFrame, on: Sequence[str], left_time: str, right_time: str, **options) -> DataFrame:
-    """Each target with the last entry <= it, null where there is none."""
-    return asof_join(targets, data, on, left_time, right_time, "backward", how="left", **options)
+    """Each target with the last entry <= it, null where there is none; searched in sorted arrays where ``data`` is small."""
+    return asof_join(targets, data, on, left_time, right_time, "backward", how="left", **{"strategy": "probe_right"} | options)
 
 
 def earliest_at_or_after(targets: DataFrame, data: DataFrame, on: Sequence[str], left_time: str, right_time: str, **options) -> DataFrame:
-    """Each target with the first entry >= it, null where there is none."""
-    return asof_join(targets, data, on, left_time, right_time, "forward", how="left", **options)
+    """Each target with the first entry >= it, null where there is none; searched in sorted arrays where ``data`` is small."""
+    return asof_join(targets, data, on, left_time, right_time, "forward", how="left", **{"strategy": "probe_right"} | options)
 
 
 def with_known_keys(df: DataFrame, other: DataFrame, on: Sequence[str]) -> DataFrame:

@@ -40,4 +40,4 @@ def dynamic_bound(left: DataFrame, right: DataFrame, spec: Spec) -> DataFrame:
         in_reach, useful = F.col(T) >= F.col("__a"), F.col(T) <= F.col("__h")
     rows = rows.filter(in_reach)
     rows = rows.join(horizon, list(spec.keys), "left") if spec.keys else rows.crossJoin(horizon)
-    return rows.filter(F.col("__h").isNull() | useful).drop("__a", "__b", "__h")
+    return rows.filter(F.col("__h").isNull() | useful).select(*right.columns)

@@ -1,24 +1,28 @@
 """Range join and pick: every candidate is formed, the nearest stays.
 
 Quadratic in the rows of a key; for few rows per key, and to check the others.
+Left rows of one key and time have one match, which an aggregation finds that
+combines candidates before it exchanges them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timeweave.plans.base import R, T, TIE, Spec, left_columns
+from timeweave.plans.base import R, T, Spec
+from timeweave.plans.fill import fill
 
 
 def nested(left: DataFrame, right: DataFrame, spec: Spec) -> DataFrame:
-    rows = left.withColumn("__row", F.monotonically_increasing_id())
-    names = {k: f"__r{k}" for k in (*spec.keys, T)}
-    other = right.select(*[F.col(k).alias(v) for k, v in names.items()], TIE, R)
-    a, b = F.col(T), F.col(names[T])
-    near = {(True, True): b <= a, (True, False): b < a, (False, True): b >= a, (False, False): b > a}[spec.backward, spec.exact]
-    for k in spec.keys:
-        near = near & (F.col(k) == F.col(names[k]))
-    nearest = b.desc() if spec.backward else b.asc()
-    pick = Window.partitionBy("__row").orderBy(nearest, F.col(TIE).desc_nulls_last())
-    return rows.join(other, near, "left").withColumn("__n", F.row_number().over(pick)).filter("__n = 1").select(*left_columns(left), R)
+    if spec.outer:
+        return fill(left, right, spec)
+    targets = left.select(*spec.keys, F.col(T).alias("__at")).distinct()
+    near = {(True, True): F.col(T) <= F.col("__at"), (True, False): F.col(T) < F.col("__at"), (False, True): F.col(T) >= F.col("__at"), (False, False): F.col(T) > F.col("__at")}[spec.backward, spec.exact]
+    pairs = targets.join(right, list(spec.keys)).filter(near) if spec.keys else targets.join(right, near)
+    groups = [*spec.keys, "__at"]
+    if spec.backward:
+        picked = pairs.groupBy(*groups).agg(spec.latest().alias(R))
+    else:
+        picked = pairs.groupBy(*groups, T).agg(F.max_by(R, F.struct(spec.tie)).alias(R)).groupBy(*groups).agg(F.min_by(R, T).alias(R))
+    return left.join(picked.withColumnRenamed("__at", T), [*spec.keys, T], "left").select(*left.columns, R)

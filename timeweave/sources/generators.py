@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,8 +70,11 @@ def tick_prices(spark: SparkSession, ticks: int, stocks: int, step: int = 10, se
     return grid.select((F.floor(F.col("id") / stocks) * step).cast("long").alias("time"), _stock((F.col("id") % stocks), "S-").alias("stock"), _uniform(0, 99, seed).alias("price"))
 
 
-def tick_orders(spark: SparkSession, n: int, start: int, end: int, stocks: int, seed: int = 0) -> DataFrame:
-    """Orders in [start, end) of stocks S-0 to S-(n-1); amount 0 to 99."""
+def tick_orders(spark: SparkSession, n: int, start: int, end: int, stocks: int, seed: int = 0, skew: float | None = None) -> DataFrame:
+    """Orders in [start, end) of stocks S-0 to S-(n-1), uniform or by a zipf law; amount 0 to 99."""
+    if skew is not None:
+        drawn = zipf_orders(spark, n, 0, stocks, skew, seed + 1).select(F.regexp_replace("stock", "^s-", "S-").alias("stock"), F.monotonically_increasing_id().alias("i"))
+        return drawn.select(_uniform(start, end - 1, seed).alias("time"), "stock", _uniform(0, 99, seed + 5).alias("amount"))
     return spark.range(n).select(_uniform(start, end - 1, seed).alias("time"), _stock(_uniform(0, stocks - 1, seed + 1), "S-").alias("stock"), _uniform(0, 99, seed + 2).alias("amount"))
 
 
@@ -88,3 +93,26 @@ def resampled(prices: DataFrame, step: int = 10) -> DataFrame:
     points = gaps.select("*", F.explode(F.sequence("time", last, F.lit(step).cast("long"))).alias("at"))
     share = (F.col("at") - F.col("time")) / F.nullif(F.col("t2") - F.col("time"), F.lit(0))
     return points.select(F.col("at").alias("time"), "stock", F.floor(F.col("price") + F.coalesce(share * (F.col("p2") - F.col("price")), F.lit(0.0))).cast("long").alias("price"))
+
+
+def orders_within(prices: DataFrame, n: int, stock: str = "BTC", seed: int = 0) -> DataFrame:
+    """``n`` orders of one stock, uniform over the time that its prices span; none without prices."""
+    span = prices.filter(F.col("stock") == stock).agg(F.min("time").alias("a"), F.max("time").alias("b")).first()
+    spark = prices.sparkSession
+    if span["a"] is None:
+        return spark.createDataFrame([], "time long, stock string, amount long")
+    return spark.range(n).select(_uniform(span["a"], span["b"], seed).alias("time"), F.lit(stock).alias("stock"), _uniform(0, 99, seed + 1).alias("amount"))
+
+
+#: Skews of a batch of order books; None is uniform.  Fixed values.
+SKEWS = (None, 1.1, 1.3, 1.5, 2.0)
+
+
+def order_books(spark: SparkSession, sizes: Sequence[int], end: int, stocks: int, skews: Sequence[float | None] = SKEWS, seed: int = 0) -> dict[tuple[float | None, int], DataFrame]:
+    """An order book for each skew and size."""
+    return {(skew, n): tick_orders(spark, n, 0, end, stocks, seed + k, skew) for k, (skew, n) in enumerate((s, n) for s in skews for n in sizes)}
+
+
+def percentile_books(spark: SparkSession, n: int, max_time: int, stocks: int, shares: Sequence[float], seed: int = 0) -> dict[float, DataFrame]:
+    """Orders that begin after each share of the feed's time."""
+    return {p: uniform_orders(spark, n, max_time, stocks, int(p * max_time), seed) for p in shares}

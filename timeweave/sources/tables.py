@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
 import logging
+import shutil
+import tempfile
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,12 +20,30 @@ log = logging.getLogger(__name__)
 
 
 def _read(spark: SparkSession, path: str, schema: StructType, delimiter: str, shuffle: bool, seed: int) -> DataFrame:
-    first = spark.read.text(path).limit(1).first()  # files begin with their header, if any
-    header = first is not None and first[0].startswith("time")
-    df = spark.read.schema(schema).options(sep=delimiter, header=header, mode="FAILFAST", quote="", enforceSchema=True).csv(path)
+    """A line that begins with ``time`` is a header wherever a file has it, so files with and without one mix."""
+    lines = spark.read.text(path).filter(~F.col("value").startswith("time") & (F.trim("value") != ""))
+    parsed = F.from_csv("value", F.lit(schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")), {"sep": delimiter, "mode": "FAILFAST", "quote": ""})
+    df = lines.select(parsed.alias("row")).select("row.*")
     return df.orderBy(F.rand(seed)) if shuffle else df
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share; on a local master any folder is."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"file://{_own_folder()}"
+    return f"{folder.rstrip('/')}/timeweave-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+@functools.lru_cache(maxsize=1)
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="timeweave-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def load_prices(spark: SparkSession, path: str, delimiter: str = ",", shuffle: bool = False, seed: int = 0) -> DataFrame:
     """``time, stock, price``; a row that doesn't parse raises an error when read."""
     return _read(spark, path, PRICES, delimiter, shuffle, seed)
