@@ -109,3 +109,21 @@ def test_documents_round_trip(spark, tokenizer):
         at += len(ids)
     assert sorted(got, key=repr) == sorted(expected, key=repr)
     assert token_file.round_trip(frame(spark, [])).count() == 0
+
+
+def test_random_texts_and_slices(monkeypatch):
+    """Capitals, marks that compose with small letters alone, odd white space, added tokens; small caches."""
+    import pyarrow as pa
+
+    from timeweave.llm import tokens
+
+    monkeypatch.setattr(tokens, "MOST_KEPT", 500)
+    code = tokens.Encoder(tokens.default_path())
+    rng = np.random.default_rng(3)
+    pool = [*"aAbBjJhHtTwWyYzZéÉßİıſKÅσΣς", "̌", "̱", "̈", "̊", "́", *"  \n\t\x0b\x0c\r", " ", " ", "\x1c", "\x85", ".", ",", "!?", '"', "(", ")", "12", "the", "THE", "'s", "don't", "-", "_", "<|endoftext|>", "日", "😀", "ﬁ"]
+    texts = ["".join(rng.choice(pool, int(rng.integers(0, 40)))) for _ in range(3000)]
+    plain = lambda xs: [[*x.ids, 2] for x in code.tokenizer.encode_batch(xs, add_special_tokens=False)]
+    assert [x.tolist() for x in code.encode(texts)] == plain(texts)
+    some = pa.array([None, "x", *texts[:50], None, ""]).slice(1, 52)
+    assert [x.tolist() for x in code.encode(some)] == plain([t or "" for t in some.to_pylist()])
+    assert code.encode([]) == [] and [x.tolist() for x in code.encode([""], None)] == [[]]

@@ -53,7 +53,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         counts = [0] * 17
         for b in batches(it, 2 << 20):
             row, start, length, crc, total, seq, bucket, pieces = [], [], [], [], [], [], [], []
-            for r, ids in enumerate(code.encode([t or "" for t in b.column("text").to_pylist()])):
+            for r, ids in enumerate(code.encode(b.column("text"))):
                 data = memoryview(ids.astype("<u4").tobytes())
                 at, n = 0, len(ids)
                 for m in binary_lengths(n, longest):

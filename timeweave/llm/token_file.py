@@ -221,7 +221,7 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
         with store.open_output_stream(f"{folder}/{file}") as out:
             w = Writer(out)
             for b in batches(it, 4 << 20, tidy=False):
-                w.add(b.column("doc_id").to_pylist(), code.encode([t or "" for t in b.column("text").to_pylist()]))
+                w.add(b.column("doc_id").to_pylist(), code.encode(b.column("text")))
                 n += b.num_rows
             w.close()
             size = out.tell()

@@ -3,7 +3,8 @@
 The tokenizers used here cut at white space before anything else, and their
 normalisation doesn't reach across ASCII white space, so a text's ids are those
 of its blank-separated chunks in order.  Chunks repeat, and are kept with their
-ids while the worker lives, up to a fixed number.
+ids while the worker lives, up to a fixed number.  Arrow cuts and numbers the
+chunks of many texts at once, so Python handles each different one.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ import json
 import os
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 END_ID = 2
 #: Chunks and units a worker remembers in each of two generations.  When the young
@@ -110,12 +113,12 @@ class Encoder:
         if whole:
             known.update(zip(whole, self._raw(whole), strict=True))
 
-    def encode(self, texts: list[str], end: int | None = END_ID) -> list[np.ndarray]:
-        """The ids of each whole text, and ``end`` after them."""
+    def encode(self, texts: list[str] | pa.Array, end: int | None = END_ID) -> list[np.ndarray]:
+        """The ids of each whole text, and ``end`` after them; a null text is empty."""
         collects = gc.isenabled()
         gc.disable()  # no cycles arise here, but millions of objects to look through
         try:
-            return self._encode(texts, end)
+            return self._encode(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), end)
         finally:
             if collects:
                 gc.enable()
@@ -124,28 +127,40 @@ class Encoder:
         """Drops the old generation, as the worker may idle beside other work from here on."""
         self.old_chunks, self.old_units = {}, {}
 
-    def _encode(self, texts: list[str], end: int | None) -> list[np.ndarray]:
+    def _encode(self, texts: pa.Array, end: int | None) -> list[np.ndarray]:
         if len(self.chunks) > MOST_KEPT:
             self.old_chunks, self.chunks = self.chunks, {}
         if len(self.units) > MOST_KEPT:
             self.old_units, self.units = self.units, {}
-        tail = b"" if end is None else np.array([end], dtype=self.dtype).tobytes()
-        split = []
-        for t in texts:
-            data = t.encode()
-            # lower case and composition commute below U+0100, so words may share an entry
-            data = data.lower() if len(data) == len(t) else t.lower().encode() if _latin(t) else data
-            split.append(data.split())  # bytes split at ASCII white space alone
+        # cut at ASCII white space and numbered by Arrow: Python sees each different chunk of these texts once
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = split.flatten().dictionary_encode()
+        chunks = coded.dictionary.cast(pa.binary()).to_pylist()
         get = self.chunks.get
-        found = [list(map(get, chunks)) for chunks in split]
-        gaps = [[i for i, ids in enumerate(row) if ids is None] if None in row else [] for row in found]
-        new = {chunks[i] for chunks, gap in zip(split, gaps, strict=True) for i in gap}
-        if new:
-            self._learn([*new])
-        for chunks, row, gap in zip(split, found, gaps, strict=True):
-            for i in gap:
-                row[i] = get(chunks[i])
-        return [np.frombuffer(b"".join(row) + tail, dtype=self.dtype) for row in found]
+        found = list(map(get, chunks))
+        if None in found:
+            gaps = [i for i, ids in enumerate(found) if ids is None]
+            self._learn([chunks[i] for i in gaps])
+            for i in gaps:
+                found[i] = get(chunks[i])
+        known = np.frombuffer(b"".join(found), dtype=self.dtype)
+        lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // self.dtype.itemsize
+        starts = np.cumsum(lengths) - lengths
+        # all ids in a row: each chunk's are a run in ``known``
+        chunk = np.asarray(coded.indices)
+        n = lengths[chunk]
+        stops = np.cumsum(n)
+        ids = known[np.repeat(starts[chunk] - (stops - n), n) + np.arange(stops[-1] if len(stops) else 0)]
+        cuts = np.concatenate([[0], stops])[np.asarray(split.offsets) - split.offsets[0].as_py()]
+        if end is not None:
+            cuts = cuts + np.arange(len(cuts))
+            whole = np.full(len(ids) + len(texts), end, dtype=self.dtype)
+            inner = np.ones(len(whole), dtype=bool)
+            inner[cuts[1:] - 1] = False
+            whole[inner] = ids
+            ids = whole
+        cuts = cuts.tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def _latin(text: str) -> bool:
