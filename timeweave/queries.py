@@ -299,7 +299,7 @@ _add(
     "generator_random",
     generated,
     """
-SELECT name, 20000 AS n, stocks, true AS from_low, true AS to_high, true AS reaches_high, true AS in_range, most_frequent
+SELECT name, CAST(20000 AS BIGINT) AS n, CAST(stocks AS BIGINT) AS stocks, true AS from_low, true AS to_high, true AS reaches_high, true AS in_range, most_frequent
 FROM (VALUES ('uniform prices', 10, NULL), ('uniform orders', 10, NULL), ('late orders', 10, NULL), ('zipf orders', 10, 's-0'), ('zipf orders from 1', 10, 's-1'),
              ('tick orders', 10, NULL), ('zipf tick orders', 10, 'S-0'), ('orders within', 1, NULL)) t(name, stocks, most_frequent)""",
 )
