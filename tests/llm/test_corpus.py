@@ -308,6 +308,20 @@ def test_pipeline_edges(spark):
         docs.count()
 
 
+def test_pipeline_leaves_columns_of_any_name_alone(spark):
+    import corpus_pipeline as p
+
+    names = ["row", "__row", "doc", "component", "copies", "__copies", "first", "file", "key", "size", "taken", "a.b", "_metadata"]
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(150)
+    for n in names:
+        docs = docs.withColumn(n, F.concat(F.lit(n), F.col("doc_id").cast("string")))
+    for name, stage in p.STAGES[:-1]:
+        out = p.stored(stage(spark, docs := p.stored(docs, "named"), FOLDER), "named")
+        assert out.columns == docs.columns and 0 < out.count(), name
+        assert out.filter(" or ".join(f"not `{n}` <=> concat('{n}', doc_id)" for n in names)).count() == 0, name
+    assert p.pack_sequences(spark, docs, FOLDER).filter("start = 0").count() == 150
+
+
 def test_pipeline_mixes_row_by_row(spark):
     import corpus_pipeline as p
 

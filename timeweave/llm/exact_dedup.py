@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timeweave.llm.workspace import columns_of, stored, table, without_blanks
+from timeweave.llm.workspace import columns_of, numbered, stored, table, without_blanks
 
 SUPPORT = 1 / 1024
 
@@ -65,10 +65,10 @@ def _decided(rows: DataFrame, support: float) -> DataFrame:
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, all columns: one row of each group, whatever its id."""
-    numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    rows = columns_of(numbered, doc_id=id_col, text=text_col, rid="__row").withColumn("text", F.coalesce("text", F.lit("")))
-    kept = _decided(rows, SUPPORT).filter("kept").select(F.col("rid").alias("__row"))
-    return numbered.join(kept, "__row", "left_semi").select(*docs.columns)
+    rows = numbered(docs)
+    texts = rows.select(F.col("doc")[id_col].alias("doc_id"), F.coalesce(F.col("doc")[text_col], F.lit("")).alias("text"), F.col("row").alias("rid"))
+    kept = _decided(texts, SUPPORT).filter("kept").select(F.col("rid").alias("row"))
+    return rows.join(kept, "row", "left_semi").select("doc.*")
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:

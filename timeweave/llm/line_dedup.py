@@ -321,7 +321,8 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         release()
         return pa.array(out, pa.string())
 
-    return docs.select(*[shortened(docs[c], *_address(docs)).alias(c) if c == text_col else docs[c] for c in docs.columns])
+    own = {c: docs["`" + c.replace("`", "``") + "`"] for c in docs.columns}
+    return docs.select(*(own | {text_col: shortened(docs[text_col], *_address(docs)).alias(text_col)}).values())
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:

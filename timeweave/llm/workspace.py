@@ -74,6 +74,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``row, doc``, stored: a number for each row, and all its columns as one struct.
+
+    So no column of the caller's meets an inner name; ``select("doc.*")`` gives
+    them back.  A scan reads only the fields that are asked for.
+    """
+    return stored(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), "numbered")
+
+
 def local_table(spark: SparkSession, **columns: tuple[pa.DataType, Iterable]) -> DataFrame:
     """A small table of the driver's; goes through Arrow, so executors run no Python for it."""
     return spark.createDataFrame(pa.table({name: pa.array(list(values), kind) for name, (kind, values) in columns.items()}))
