@@ -316,7 +316,9 @@ def test_similar_texts_against_all_pairs(spark, monkeypatch):
 
 
 def test_similar_texts_in_small_blocks(spark, monkeypatch):
-    """Shingles dealt over blocks, and hot keys over tasks, give the same groups."""
+    """Shingles dealt over blocks and cells, and hot keys over tasks, give the same groups."""
+    monkeypatch.setattr(shingle_dedup, "SAMPLE", 0.5)
+    monkeypatch.setattr(shingle_dedup, "HEAVY", 2)
     monkeypatch.setattr(shingle_dedup, "FEW", 2)
     monkeypatch.setattr(shingle_dedup, "BLOCK", 5)
     monkeypatch.setattr(shingle_dedup, "HOT", 4)
