@@ -122,6 +122,7 @@ def test_random_texts_and_slices(monkeypatch):
     rng = np.random.default_rng(3)
     pool = [*"aAbBjJhHtTwWyYzZéÉßİıſKÅσΣς", "̌", "̱", "̈", "̊", "́", *"  \n\t\x0b\x0c\r", " ", " ", "\x1c", "\x85", ".", ",", "!?", '"', "(", ")", "12", "the", "THE", "'s", "don't", "-", "_", "<|endoftext|>", "日", "😀", "ﬁ"]
     texts = ["".join(rng.choice(pool, int(rng.integers(0, 40)))) for _ in range(3000)]
+    texts += [f"a{c}.{c}b! {c}{c}, {c}" for c in map(chr, range(1, 384))]
     plain = lambda xs: [[*x.ids, 2] for x in code.tokenizer.encode_batch(xs, add_special_tokens=False)]
     assert [x.tolist() for x in code.encode(texts)] == plain(texts)
     some = pa.array([None, "x", *texts[:50], None, ""]).slice(1, 52)

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timeweave.llm.tokens import default_path, encoder
+from timeweave.llm.tokens import AT_A_TIME, default_path, encoder
 from timeweave.llm.workspace import batches, table
 
 LONGEST = 4096
@@ -51,7 +51,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, part = encoder(path), TaskContext.get().partitionId()
         counts = [0] * 17
-        for b in batches(it, 2 << 20):
+        for b in batches(it, AT_A_TIME):
             row, start, length, crc, total, seq, bucket, pieces = [], [], [], [], [], [], [], []
             for r, ids in enumerate(code.encode(b.column("text"))):
                 data = memoryview(ids.astype("<u4").tobytes())

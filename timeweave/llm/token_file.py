@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timeweave.llm.tokens import default_path, encoder
+from timeweave.llm.tokens import AT_A_TIME, default_path, encoder
 from timeweave.llm.workspace import batches, file_system, fresh_path, table
 
 MAGIC, BLOCK, PERCENTILE = b"TWPFOR1\n", 256, 90
@@ -220,7 +220,7 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
         n = 0
         with store.open_output_stream(f"{folder}/{file}") as out:
             w = Writer(out)
-            for b in batches(it, 4 << 20, tidy=False):
+            for b in batches(it, AT_A_TIME, tidy=False):
                 w.add(b.column("doc_id").to_pylist(), code.encode(b.column("text")))
                 n += b.num_rows
             w.close()

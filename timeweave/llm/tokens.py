@@ -2,9 +2,11 @@
 
 The tokenizers used here cut at white space before anything else, and their
 normalisation doesn't reach across ASCII white space, so a text's ids are those
-of its blank-separated chunks in order.  Chunks repeat, and are kept with their
-ids while the worker lives, up to a fixed number.  Arrow cuts and numbers the
-chunks of many texts at once, so Python handles each different one.
+of its blank-separated chunks in order.  A chunk of letters with punctuation
+after them is two units of the tokenizer, any other is one here.  Arrow cuts
+the chunks of many texts into units and puts the units' ids together; Python
+sees each different unit once, and keeps its ids while the worker lives, up to
+a fixed number.
 """
 
 from __future__ import annotations
@@ -19,12 +21,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 END_ID = 2
-#: Chunks and units a worker remembers in each of two generations.  When the young
-#: one is full it becomes the old one, and what is used again moves to the new one.
-MOST_KEPT = 300_000
+#: Units a worker remembers in each of two generations.  When the young one is
+#: full it becomes the old one, and what is used again moves to the new one.
+MOST_KEPT = 600_000
+#: Bytes of text to hand over at once; units repeat, so more at once cost less.
+AT_A_TIME = 8 << 20
 #: Words encoded by one call.
 AT_ONCE = 16_384
-_TAIL = b".,!?;:*#$%&|\"()"
+_TAIL = ".,!?;:*#$%&|\"()"
+#: The letters below U+0100; each is lower-cased by itself.
+_LETTERS = "".join(c for c in map(chr, range(256)) if c.isalpha())
+_WORD = f"^[{_LETTERS}]+$"
+_EMPTY = pa.scalar(b"", pa.large_binary())
 
 
 def default_path() -> str:
@@ -57,9 +65,7 @@ class Encoder:
         self.ends = np.zeros(size, dtype=bool)
         for token, i in vocab.items():
             self.ends[i] = bool(suffix) and token.endswith(suffix)
-        self.chunks: dict[bytes, bytes] = {}  # by a chunk's UTF-8
-        self.units: dict[bytes, bytes] = {}
-        self.old_chunks: dict[bytes, bytes] = {}
+        self.units: dict[bytes, bytes] = {}  # by a unit's UTF-8
         self.old_units: dict[bytes, bytes] = {}
 
     def _raw(self, texts: list[bytes]) -> list[bytes]:
@@ -76,42 +82,26 @@ class Encoder:
         data = ids.tobytes()
         return [data[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
 
-    def _learn(self, chunks: list[bytes]) -> None:
-        """Adds chunks.  Letters with punctuation after them are two units of the tokenizer."""
-        known, old = self.chunks, self.old_chunks
-        units, old_units = self.units, self.old_units
-        wait: list[tuple[bytes, bytes, bytes]] = []
-        whole: list[bytes] = []
-        words: dict[bytes, None] = {}
-        tails: dict[bytes, None] = {}
-        for c in chunks:
-            if (ids := old.get(c)) is not None:
-                known[c] = ids
-                continue
-            unit = word = c.rstrip(_TAIL)
-            if word not in units:  # units are lower-case letters alone, or punctuation alone
-                unit = _letters(word)
-                if unit is None:
-                    whole.append(c)
-                    continue
-                if unit not in units:
-                    if (ids := old_units.get(unit)) is not None:
-                        units[unit] = ids
-                    else:
-                        words[unit] = None
-            tail = c[len(word) :]
-            wait.append((c, unit, tail))
-            if tail and tail not in units:
-                tails[tail] = None
-        new = [*words]
-        for at in range(0, len(new), AT_ONCE):
-            units.update(zip(new[at : at + AT_ONCE], self._words(new[at : at + AT_ONCE]), strict=True))
-        if tails:
-            units.update(zip(tails, self._raw([*tails]), strict=True))
-        for c, unit, tail in wait:
-            known[c] = units[unit] + units[tail] if tail else units[unit]
-        if whole:
-            known.update(zip(whole, self._raw(whole), strict=True))
+    def _look_up(self, units: pa.Array) -> pa.Array:
+        """The ids of different units, as bytes."""
+        names = units.cast(pa.binary()).to_pylist()
+        found = list(map(self.units.get, names))
+        gaps = [i for i, ids in enumerate(found) if ids is None]
+        if gaps:
+            plain = pc.match_substring_regex(units.take(pa.array(gaps, pa.int64())), _WORD).to_pylist()
+            words, whole = [], []
+            for i, word in zip(gaps, plain, strict=True):
+                if (ids := self.old_units.get(names[i])) is not None:
+                    found[i] = ids
+                else:
+                    (words if word else whole).append(i)
+            for encode, new in ((self._words, words), (self._raw, whole)):
+                for at in range(0, len(new), AT_ONCE):
+                    some = new[at : at + AT_ONCE]
+                    for i, ids in zip(some, encode([names[i] for i in some]), strict=True):
+                        found[i] = ids
+            self.units.update((names[i], found[i]) for i in gaps)
+        return pa.array(found, pa.large_binary())
 
     def encode(self, texts: list[str] | pa.Array, end: int | None = END_ID) -> list[np.ndarray]:
         """The ids of each whole text, and ``end`` after them; a null text is empty."""
@@ -125,33 +115,24 @@ class Encoder:
 
     def forget(self) -> None:
         """Drops the old generation, as the worker may idle beside other work from here on."""
-        self.old_chunks, self.old_units = {}, {}
+        self.old_units = {}
 
     def _encode(self, texts: pa.Array, end: int | None) -> list[np.ndarray]:
-        if len(self.chunks) > MOST_KEPT:
-            self.old_chunks, self.chunks = self.chunks, {}
         if len(self.units) > MOST_KEPT:
             self.old_units, self.units = self.units, {}
-        # cut at ASCII white space and numbered by Arrow: Python sees each different chunk of these texts once
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         coded = split.flatten().dictionary_encode()
-        chunks = coded.dictionary.cast(pa.binary()).to_pylist()
-        get = self.chunks.get
-        found = list(map(get, chunks))
-        if None in found:
-            gaps = [i for i, ids in enumerate(found) if ids is None]
-            self._learn([chunks[i] for i in gaps])
-            for i in gaps:
-                found[i] = get(chunks[i])
-        known = np.frombuffer(b"".join(found), dtype=self.dtype)
-        lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // self.dtype.itemsize
-        starts = np.cumsum(lengths) - lengths
-        # all ids in a row: each chunk's are a run in ``known``
-        chunk = np.asarray(coded.indices)
-        n = lengths[chunk]
-        stops = np.cumsum(n)
-        ids = known[np.repeat(starts[chunk] - (stops - n), n) + np.arange(stops[-1] if len(stops) else 0)]
-        cuts = np.concatenate([[0], stops])[np.asarray(split.offsets) - split.offsets[0].as_py()]
+        chunks = coded.dictionary
+        word = pc.ascii_rtrim(chunks, characters=_TAIL)
+        plain = pc.match_substring_regex(word, _WORD)
+        unit = pc.if_else(plain, pc.utf8_lower(word), chunks).dictionary_encode()
+        tail = pc.if_else(plain, pc.utf8_ltrim(chunks, characters=_LETTERS), "").dictionary_encode()
+        found = pc.binary_join_element_wise(*(self._look_up(x.dictionary).take(x.indices) for x in (unit, tail)), _EMPTY)
+        # all ids in a row: Arrow puts each chunk's bytes one after another
+        taken = found.take(coded.indices)
+        stops = np.frombuffer(taken.buffers()[1], dtype=np.int64)[: len(taken) + 1] if len(taken) else np.zeros(1, dtype=np.int64)
+        ids = np.frombuffer(taken.buffers()[2] or b"", dtype=self.dtype, count=int(stops[-1]) // self.dtype.itemsize)
+        cuts = stops[np.asarray(split.offsets) - split.offsets[0].as_py()] // self.dtype.itemsize
         if end is not None:
             cuts = cuts + np.arange(len(cuts))
             whole = np.full(len(ids) + len(texts), end, dtype=self.dtype)
@@ -163,22 +144,6 @@ class Encoder:
         return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def _latin(text: str) -> bool:
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return True
-
-
-def _letters(word: bytes) -> bytes | None:
-    """The word in lower case if it has letters below U+0100 alone."""
-    if word.isascii():
-        return word.lower() if word.isalpha() else None
-    text = word.decode()
-    return text.lower().encode() if text.isalpha() and _latin(text) else None
-
-
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One encoder for each file and worker process."""
