@@ -40,7 +40,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timeweave.llm.workspace import BLANKS, batches, file_system, fresh_path, release, stored, table
+from timeweave.llm.workspace import BLANKS, batches, file_system, fresh_path, release, stored, table, tidied
 
 LEAST = 10
 _BLANKS = BLANKS.encode()
@@ -153,11 +153,11 @@ def keep_bitmaps(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(*_OWNER, "text").mapInArrow(line_rows(least), "h1 long, h2 long, doc long, no_id boolean, file long, row long, line int, n_lines int, drops binary")
+    rows = docs.select(*_OWNER, "text").mapInArrow(tidied(line_rows(least)), "h1 long, h2 long, doc long, no_id boolean, file long, row long, line int, n_lines int, drops binary")
     # range r of n equal ones over the 64 bits of h1
     at = F.floor((F.shiftright("h1", 32) + F.lit(2**31)) * n / F.lit(2**32)).cast("int")
     ranged = rows.repartitionById(n, at).sortWithinPartitions("h1", "h2", "no_id", "doc", "line")
-    found = ranged.mapInArrow(later_ones, "file long, row long, line int, n_lines int, drops binary")
+    found = ranged.mapInArrow(tidied(later_ones), "file long, row long, line int, n_lines int, drops binary")
     gathered = found.groupBy("file", "row").agg(
         F.max("n_lines").alias("n_lines"),
         F.collect_list(F.when(F.col("drops").isNull(), F.col("line"))).alias("lines"),
@@ -173,7 +173,7 @@ def keep_bitmaps(docs: DataFrame, least: int = LEAST) -> DataFrame:
                 counts.append(len(gone))
             yield pa.RecordBatch.from_arrays([b.column("file"), b.column("row"), b.column("n_lines"), pa.array(counts, pa.int32()), pa.array(out, pa.binary())], ["file", "row", "n_lines", "n_dropped", "keep"])
 
-    return gathered.mapInArrow(pack, _MAPS)
+    return gathered.mapInArrow(tidied(pack), _MAPS)
 
 
 def kept_lines(text: str, keep: np.ndarray, least: int = LEAST) -> tuple[list[str], int]:
@@ -245,7 +245,7 @@ class Bitmaps:
         chunk = F.shiftright("row", cls.CHUNK.bit_length() - 1)
         slim = maps.filter("n_dropped > 0").select("file", chunk.alias("chunk"), "row", "keep")
         dealt = slim.repartitionById(parts, F.pmod(F.xxhash64("file", "chunk"), F.lit(parts)).cast("int")).sortWithinPartitions("file", "chunk", "row")
-        names = {r["part"]: r["name"] for r in dealt.mapInArrow(run, "part int, name string").collect()}  # a row per part
+        names = {r["part"]: r["name"] for r in dealt.mapInArrow(tidied(run), "part int, name string").collect()}  # a row per part
         return cls(names, folder, parts)
 
     def of(self, files: np.ndarray, rows: np.ndarray) -> list[np.ndarray | None]:
@@ -302,7 +302,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], ["doc_id", "text", "n_lines", "n_dropped"])
 
     again = docs.select(docs[id_col].cast("long").alias("doc_id"), *_address(docs), docs[text_col].alias("text"))
-    return again.mapInArrow(run, "doc_id long, text string, n_lines long, n_dropped long")
+    return again.mapInArrow(tidied(run), "doc_id long, text string, n_lines long, n_dropped long")
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timeweave.llm.tokens import AT_A_TIME, default_path, encoder
-from timeweave.llm.workspace import batches, table
+from timeweave.llm.workspace import batches, table, tidied
 
 LONGEST = 4096
 
@@ -81,7 +81,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         code.forget()
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int" + ", ids array<int>" * with_ids
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, schema)
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(tidied(run), schema)
 
 
 def write_buckets(packed: DataFrame, path: str) -> None:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timeweave.llm.workspace import batches, release, table
+from timeweave.llm.workspace import batches, release, table, tidied
 
 TRAIN_ROWS, SEED = 8192, 5
 BITS, EPOCHS, BATCH, RATE, DECAY = 18, 12, 128, 0.3, 1e-6
@@ -268,7 +268,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
         for b in batches(it):
             yield pa.RecordBatch.from_arrays([pa.array([votes(facts(t)) for t in b.column("text").to_pylist()], pa.int32())], ["votes"])
 
-    counted = rows.select("text").mapInArrow(vote, "votes int").groupBy("votes").count().collect()  # 3 ^ labellers at most
+    counted = rows.select("text").mapInArrow(tidied(vote), "votes int").groupBy("votes").count().collect()  # 3 ^ labellers at most
     counted.sort(key=lambda r: r["votes"])
     codes, n = np.array([r["votes"] for r in counted], dtype=np.int64), np.array([r["count"] for r in counted], dtype=np.float64)
     if not len(codes):
@@ -285,7 +285,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
             vectors = [features(f) for f in found]
             yield pa.RecordBatch.from_arrays([pa.array([votes(f) for f in found], pa.int32()), pa.array([i.tobytes() for i, _ in vectors], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in vectors], pa.binary())], ["votes", "idx", "val"])
 
-    sample = drawn.select("text").mapInArrow(describe, "votes int, idx binary, val binary").collect()
+    sample = drawn.select("text").mapInArrow(tidied(describe), "votes int, idx binary, val binary").collect()
     if not sample:
         return Classifier(model, None)
     # one order makes the fit the same on every run
@@ -314,7 +314,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([f.n for f in found], pa.int64()), pa.array(label), pa.array(score), pa.array(score <= threshold)], ["doc_id", "n_words", "label_bad", "score_bad", "kept"])
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_words long, label_bad double, score_bad double, kept boolean")
+    return rows.mapInArrow(tidied(run), "doc_id long, n_words long, label_bad double, score_bad double, kept boolean")
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -23,9 +23,9 @@ import pyarrow.compute as pc
 END_ID = 2
 #: Units a worker remembers in each of two generations.  When the young one is
 #: full it becomes the old one, and what is used again moves to the new one.
-MOST_KEPT = 600_000
+MOST_KEPT = 300_000
 #: Bytes of text to hand over at once; units repeat, so more at once cost less.
-AT_A_TIME = 8 << 20
+AT_A_TIME = 4 << 20
 #: Words encoded by one call.
 AT_ONCE = 16_384
 _TAIL = ".,!?;:*#$%&|\"()"

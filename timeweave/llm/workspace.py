@@ -13,7 +13,7 @@ import ctypes
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyarrow import fs
@@ -107,6 +107,16 @@ def batches(it: Iterator[pa.RecordBatch], most: int = 16 << 20, tidy: bool = Tru
             release()
 
 
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which the worker gives back what its last batch took."""
+
+    def whole(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(it)
+        release()
+
+    return whole
+
+
 def columns_of(df: DataFrame, **wanted: str) -> DataFrame:
     """Only the named input columns, under the operator's own names.
 
