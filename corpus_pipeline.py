@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timeweave.llm import line_dedup, mixing, packing, quality_classifier, shingle_dedup, simhash  # noqa: F401 (the tests reach simhash through this module)
+from timeweave.llm import line_dedup, mixing, packing, quality_classifier, shingle_dedup, simhash
 from timeweave.llm.workspace import numbered, stored, table
 
 
@@ -28,13 +28,15 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of texts linked by similarity the document of the smallest id stays.
 
     Texts link whose sets of five-word shingles have a Jaccard similarity of 0.8
-    or more.  One row of each group stays; a null id comes after all others, and
-    of rows of one id the first in the stored order stays.
+    or more: SimHash's anchors find the close ones, each link is checked by whole
+    sets, and prefix filtering finds those whose fingerprints are too far apart
+    for a covering.  One row of each group stays; a null id comes after all
+    others, and of rows of one id the first in the stored order stays.
     """
     rows = numbered(docs)
     texts = rows.select("row", "doc.doc_id", "doc.text")
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
-    groups = texts.select("row", "doc_id").join(shingle_dedup.near_copies(texts), "row")
+    groups = texts.select("row", "doc_id").join(shingle_dedup.near_copies(texts, simhash.links), "row")
     stays = groups.groupBy("component").agg(F.min(rank).alias("first")).select("first.row")
     return rows.join(stays, "row", "left_semi").select("doc.*")
 

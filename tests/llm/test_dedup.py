@@ -351,6 +351,32 @@ def test_pipeline_stage_drops_all_similar_texts(spark):
     assert {r["doc_id"] for r in p.dedup_near(spark, docs, "").collect()} == set(jaccard_components(texts))
 
 
+def test_pipeline_stage_goes_through_simhash(spark, monkeypatch):
+    """With prefix filtering off, what SimHash's fingerprints bring together is linked, and only if it is alike."""
+    import corpus_pipeline as p
+
+    print_of = lambda t: simhash.majority(shingle_dedup.shingles(t))
+    r = random.Random(15)
+    word = lambda: f"w{r.randint(0, 3000)}"
+    texts = []
+    for _ in range(12):
+        base = [word() for _ in range(400)]
+        for k in range(8):
+            at = r.randrange(400)
+            texts.append(" ".join(base[:at] + [word()] * (k > 0) + base[at + 1 :]))
+    head = [word() for _ in range(13)]
+    tails = [" ".join(head + [word(), word(), word()]) for _ in range(500)]  # 9 of 15 shingles in common
+    prints = [print_of(t) for t in tails]
+    close = [(i, j) for i, j in itertools.combinations(range(len(tails)), 2) if 0 < (prints[i] ^ prints[j]).bit_count() <= 3]
+    texts += [tails[i] for i in close[0]]
+    groups = plain_components([(i, print_of(t)) for i, t in enumerate(texts)])
+    assert groups[len(texts) - 1] == len(texts) - 2 and 12 < len(set(groups.values())) < len(texts) - 24
+    groups[len(texts) - 1] = len(texts) - 1
+    monkeypatch.setattr(shingle_dedup, "prefix", lambda n: 0)
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in p.dedup_near(spark, docs, "").collect()} == set(groups.values())
+
+
 def test_pipeline_stage_keeps_one_row_of_each_group(spark):
     import corpus_pipeline as p
 

@@ -1,16 +1,25 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles, with prefix filtering.
+"""Near-duplicates by SimHash and exact Jaccard similarity of word shingles.
 
-A text is the set of its five-word shingles (as XXH64 hashes).  Put in one order
-for all texts, two sets of similarity 4/5 or more share a shingle among the first
-``n - ceil(4 n / 5) + 1`` of each, so the pairs that meet at such a shingle hold
-every pair that is asked for, in any order (Chaudhuri et al. 2006).  The order
-here begins with the shingles that a sample of the texts doesn't show twice, so
-few texts meet; it decides about the work alone, never about the result.
+A text is the set of its five-word shingles (as XXH64 hashes), its fingerprint
+the SimHash of that set.  The anchors of ``simhash`` find the fingerprints that
+differ in few bits; what they link is compared by whole sets before it counts.
+
+Sets of similarity 4/5 differ in about ten bits of 64, beyond any covering that
+pays, so prefix filtering does the rest: the pairs that SimHash has not joined.
+Put in one order for all texts, two sets of similarity 4/5 or more share a
+shingle among the first ``n - ceil(4 n / 5) + 1`` of each, so the pairs that meet
+at such a shingle hold every pair that is asked for, in any order (Chaudhuri et
+al. 2006).  The order here begins with the shingles that a sample of the texts
+doesn't show twice, so few texts meet; it decides about the work alone, never
+about the result.
 
 1. Texts of equal sets are one key from the start.
-2. At each shared shingle keys are compared with the least one.  What links
-   is joined, so a large group of near copies is one component by then.
-3. Keys of different components that share a shingle are compared: pair by pair
+2. Keys whose fingerprints SimHash links are compared, and joined if they are
+   alike.
+3. At each shared shingle keys are compared with the least one, but for those
+   of its component.  What links is joined, so a large group of near copies is
+   one component by then.
+4. Keys of different components that share a shingle are compared: pair by pair
    where ``FEW`` share it, so pairs grow with the keys; else they meet in blocks
    of bounded size inside a task, which only possible pairs leave.
 
@@ -21,7 +30,7 @@ shingles.  What is left is compared by whole sets: nothing is estimated.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from timeweave.llm import simhash
 from timeweave.llm.components import components
 from timeweave.llm.workspace import batches, stored, tidied
 
@@ -275,24 +285,45 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return dealt.join(left, "a").join(right, ["b", "part"]).select("a", "b", "sa", "sb").mapInArrow(tidied(run), "a long, b long")
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
+def _neighbours(unique: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``a, b, na, nb``: the keys of ``unique(key, f, n)`` whose fingerprints are equal or linked.
+
+    The least key of a fingerprint stands for it at the anchors, and is the one
+    that its other keys are held against.
+    """
+    least = stored(unique.groupBy("f").agg(F.min(F.struct("key", "n")).alias("c")).select("f", "c.*"), "unique-fingerprints")
+    end = lambda f, key, n: least.select(F.col("f").alias(f), F.col("key").alias(key), F.col("n").alias(n))
+    equal = unique.select(F.col("f").alias("fb"), F.col("key").alias("a"), F.col("n").alias("na")).join(end("fb", "b", "nb"), "fb").filter("a <> b")
+    near = links(least.select("f")).select(F.col("a").alias("fa"), F.col("b").alias("fb")).join(end("fa", "a", "na"), "fa").join(end("fb", "b", "nb"), "fb")
+    columns = ["a", "b", "na", "nb"]
+    return near.select(columns).unionByName(equal.select(columns)).filter(_like(F.col("na"), F.col("nb"), F.least("na", "nb")))
+
+
+def near_copies(docs: DataFrame, links: Callable[[DataFrame], DataFrame] = simhash.links) -> DataFrame:
     """``row, component`` for each row of ``docs(row, text)``: rows linked by similarity have one component.
 
     ``row`` is a stored, unique number.  Texts of similarity 4/5 or more link; the
     blank and null ones are alike.  ``component`` is a number without a meaning.
+    ``links`` gives the pairs ``a, b`` of the distinct fingerprints ``f`` that are
+    compared first.
     """
     spark = docs.sparkSession
 
     def describe(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it, AT_A_TIME):
-            keys, bits = [np.zeros(0, dtype=np.int64)], []
+            keys, prints, sizes, bits = [np.zeros(0, dtype=np.int64)], [], [], []
             for s in map(shingles, b.column("text").to_pylist()):
                 keys.append(_key(s))
+                prints.append(simhash.majority(s))
+                sizes.append(len(s))
                 bits.append(bitmap(s))
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(np.concatenate(keys)), pa.array(bits, pa.binary())], ["row", "key", "bits"])
+            f = np.array(prints, dtype=np.uint64).view(np.int64)
+            columns = [b.column("row"), pa.array(np.concatenate(keys)), pa.array(f), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "key", "f", "n", "bits"])
 
-    described = stored(docs.select("row", "text").mapInArrow(tidied(describe), "row long, key long, bits binary"), "shingle-keys")
-    unique = stored(described.groupBy("key").agg(F.min("row").alias("row"), F.min_by("bits", "row").alias("bits")), "shingle-bitmaps")
+    described = stored(docs.select("row", "text").mapInArrow(tidied(describe), "row long, key long, f long, n int, bits binary"), "shingle-keys")
+    first = [F.min("row").alias("row"), *[F.min_by(c, "row").alias(c) for c in ("f", "n", "bits")]]
+    unique = stored(described.groupBy("key").agg(*first), "shingle-bitmaps")
     token, count = _common(docs)
 
     def send(_: int, s: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -325,19 +356,24 @@ def near_copies(docs: DataFrame) -> DataFrame:
         sets = stored(docs.join(least, "row").select("key", "text").mapInArrow(tidied(to_binary), "key long, tokens binary"), "shingle-sets")
         return stored(_verified(pairs, sets), "shingle-links")
 
-    centre = shared.groupBy("token").agg(F.min(F.struct("key", "n", "at")).alias("c")).select("token", "c.*")
-    pairs = shared.alias("x").join(centre.alias("y"), "token").filter(F.col("x.key") != F.col("y.key"))
-    links = verified(_near(_possible(pairs), unique))
-    known = components(links).select(F.col("a").alias("key"), "b")
+    def named(linked: DataFrame) -> DataFrame:
+        known = components(linked).select(F.col("a").alias("key"), "b")
+        return stored(shared.join(known, "key", "left").withColumn("g", F.coalesce("b", "key")).drop("b"), "named-shingles")
+
+    known = verified(_near(_neighbours(unique, links), unique))
+    keyed = named(known)
+    centre = keyed.groupBy("token").agg(F.min(F.struct("key", "n", "at", "g")).alias("c")).select("token", "c.*")
+    pairs = keyed.alias("x").join(centre.alias("y"), "token").filter(F.col("x.g") != F.col("y.g"))
+    known = known.unionByName(verified(_near(_possible(pairs), unique)))
 
-    named = stored(shared.join(known, "key", "left").withColumn("g", F.coalesce("b", "key")).drop("b"), "named-shingles")
-    mixed = named.groupBy("token").agg(F.min("g").alias("low"), F.max("g").alias("high"), F.count("*").alias("m")).filter("low <> high").select("token", "m")
-    named = named.join(mixed, "token")
-    few, many = named.filter(F.col("m") <= FEW), named.filter(F.col("m") > FEW)
+    keyed = named(known)
+    mixed = keyed.groupBy("token").agg(F.min("g").alias("low"), F.max("g").alias("high"), F.count("*").alias("m")).filter("low <> high").select("token", "m")
+    keyed = keyed.join(mixed, "token")
+    few, many = keyed.filter(F.col("m") <= FEW), keyed.filter(F.col("m") > FEW)
     pairs = few.alias("x").join(few.alias("y"), "token").filter((F.col("x.key") < F.col("y.key")) & (F.col("x.g") != F.col("y.g")))
-    more = _near(_possible(pairs), unique).unionByName(_met(many.select("token", "key", "g", "n").join(unique, "key"))).distinct()
+    more = _near(_possible(pairs), unique).unionByName(_met(many.select("token", "key", "g", "n").join(unique.select("key", "bits"), "key"))).distinct()
     more = verified(more)
 
-    stars = components(links.unionByName(more)).select(F.col("a").alias("key"), "b")
+    stars = components(known.unionByName(more)).select(F.col("a").alias("key"), "b")
     # copies make a key frequent: the rows are the large side, which AQE splits
     return described.select("row", "key").join(stars, "key", "left").select("row", F.coalesce("b", "key").alias("component"))

@@ -59,6 +59,15 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * bits > n).tobytes(), "big")
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of hashes made elsewhere: bit b is set if it is set in over half of them."""
+    bits = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        h = hashes[at : at + _CHUNK].astype(">u8")
+        bits += np.unpackbits(h.view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * bits > len(hashes)).tobytes(), "big")
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``doc, f`` (the fingerprint as a signed long), one row per input row."""
 
